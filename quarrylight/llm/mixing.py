@@ -2,7 +2,7 @@
 
 A source's rate is its target over what it has; every record gets the whole part of the rate as certain copies. The rest
 is drawn by Pareto order sampling: records are ordered by random odds over inclusion odds, and the first ones are taken
-until the source's size is reached. The random numbers are hashes of the record's id, so a draw can be repeated and a
+as long as they fit into the source's size. The random numbers are hashes of the record's id, so a draw can be repeated and a
 lost task gives the same again.
 """
 
@@ -15,6 +15,7 @@ from quarrylight.core.storage import cut
 from quarrylight.llm.tokens import TOKENIZER, token_sizes
 
 BUCKETS = 1024
+ROUNDS = 4
 
 
 def mix_documents(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 1, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -38,15 +39,27 @@ def mix_documents(documents: DataFrame, targets: DataFrame, total_tokens: int |
     rated = sizes.join(F.broadcast(rates), "source")
     uniform = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
     rated = rated.withColumn("u", uniform).withColumn("order", F.col("u") / (1 - F.col("u")) / F.greatest(F.col("odds") / F.greatest(1 - F.col("odds"), F.lit(1e-12)), F.lit(1e-12)))
-    # Within a source the order follows u; sums over its buckets give every bucket its start, so no task sorts a whole source.
-    rated = rated.withColumn("bucket", F.floor(F.col("u") * BUCKETS))
-    sums = rated.groupBy("source", "bucket").agg(F.sum("tokens").alias("in_bucket"))
+    rated = cut(rated.withColumn("bucket", F.floor(F.col("u") * BUCKETS)))
+    drawn = rated.select("doc_id", F.lit(None).cast("long").alias("nothing")).where("false").select("doc_id")
+    for _ in range(ROUNDS):
+        # What still fits below the source's goal is taken in the same order, so that no large record leaves a gap.
+        taken = rated.join(drawn, "doc_id", "left_semi").groupBy("source").agg(F.sum("tokens").alias("taken"))
+        left = rates.where("certain < most").join(taken, "source", "left").select("source", (F.col("rest") - F.coalesce("taken", F.lit(0))).alias("left"))
+        open_ = rated.join(drawn, "doc_id", "left_anti").join(F.broadcast(left), "source").where("tokens <= left")
+        drawn = cut(drawn.unionByName(_first_fitting(open_)))
+    copies = F.col("certain") + F.coalesce("extra", F.lit(0))
+    return rated.join(drawn.withColumn("extra", F.lit(1)), "doc_id", "left").select("doc_id", "source", "tokens", copies.cast("long").alias("copies")).where("copies > 0")
+
+
+def _first_fitting(records: DataFrame) -> DataFrame:
+    """``doc_id``: the first records of each source, in their order, whose tokens together are at most ``left``.
+
+    Within a source the order follows u; sums over its buckets give every bucket its start, so no task sorts a source.
+    """
+    sums = records.groupBy("source", "bucket").agg(F.sum("tokens").alias("in_bucket"))
     starts = sums.withColumn("before", F.coalesce(F.sum("in_bucket").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("in_bucket")
     running = F.sum("tokens").over(Window.partitionBy("source", "bucket").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    drawn = rated.withColumn("upto", running).join(starts, ["source", "bucket"])
-    # The record on the edge is taken if that comes closer to the goal.
-    extra = ((F.col("before") + F.col("upto") - F.col("tokens") / 2.0) < F.col("rest")) & (F.col("certain") < F.col("most"))
-    return drawn.withColumn("copies", (F.col("certain") + extra.cast("long")).cast("long")).where("copies > 0").select("doc_id", "source", "tokens", "copies")
+    return records.withColumn("upto", running).join(starts, ["source", "bucket"]).where("before + upto <= left").select("doc_id")
 
 
 def reached_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:

@@ -63,6 +63,12 @@ def curve_keys(units: np.ndarray, ordering: int, axes: int, bits: int) -> np.nda
     return hilbert_keys(cells, bits)
 
 
+def _units(raw: pd.Series) -> np.ndarray:
+    """Unit vectors, in double precision, of stored single-precision ones."""
+    m = np.frombuffer(b"".join(raw), dtype=np.float32).reshape(len(raw), -1).astype(np.float64)
+    return m / np.linalg.norm(m, axis=1)[:, None]
+
+
 def _usable(dimensions: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -76,7 +82,7 @@ def _usable(dimensions: int):
             unit = m[good] / norm[good][:, None]
             # Directions that agree to 6 decimals have a similarity of 1 to 9 decimals.
             rounded = np.round(unit, 6) + 0.0
-            yield pd.DataFrame({"id": b["id"].to_numpy()[good], "model": b["model"].to_numpy()[good], "direction": [r.tobytes() for r in rounded], "unit": [u.tobytes() for u in unit]})
+            yield pd.DataFrame({"id": b["id"].to_numpy()[good], "model": b["model"].to_numpy()[good], "direction": [r.tobytes() for r in rounded], "raw": [v.tobytes() for v in m[good].astype(np.float32)]})
 
     return run
 
@@ -86,11 +92,9 @@ def _keyed(orderings: int, axes: int, bits: int):
         for b in batches:
             if not len(b):
                 continue
-            units = np.frombuffer(b"".join(b["unit"]), dtype=np.float64).reshape(len(b), -1)
-            short = units.astype(np.float32)
-            packed = [u.tobytes() for u in short]
+            units = _units(b["raw"])
             for o in range(orderings):
-                yield pd.DataFrame({"model": b["model"], "ordering": o, "key": curve_keys(units, o, axes, bits), "id": b["id"], "unit": packed})
+                yield pd.DataFrame({"model": b["model"], "ordering": o, "key": curve_keys(units, o, axes, bits), "id": b["id"], "raw": b["raw"]})
 
     return run
 
@@ -98,7 +102,9 @@ def _keyed(orderings: int, axes: int, bits: int):
 def _windows(width: int, k: int):
     """Best ``k`` of the ``width`` rows on either side, for rows that come sorted by model, ordering and key."""
 
-    def compare(model, ordering, ids: np.ndarray, m: np.ndarray, first: int, last: int):
+    def compare(part: pd.DataFrame, first: int, last: int):
+        model, ids, units = part["model"].iloc[0], part["id"].to_numpy(), _units(part["raw"])
+        m = units.astype(np.float32)
         step, found_near, found_sims = 256, [], []
         for a in range(first, last, step):
             b = min(last, a + step)
@@ -111,7 +117,7 @@ def _windows(width: int, k: int):
                 found_sims += [np.empty(0)] * (b - a)
                 continue
             best = np.argpartition(-sims, take - 1, axis=1)[:, :take]
-            left, right = m[a:b].astype(np.float64), m[lo:hi].astype(np.float64)
+            left, right = units[a:b], units[lo:hi]
             found_near += list(ids[lo:hi][best])
             found_sims += list(np.einsum("id,ijd->ij", left, right[best]))
         yield pd.DataFrame({"model": model, "id": ids[first:last], "near": found_near, "sims": found_sims})
@@ -127,9 +133,7 @@ def _windows(width: int, k: int):
                 closed = size < len(held)
                 last = size if closed else size - width
                 if last > done:
-                    part = held.iloc[:size]
-                    m = np.frombuffer(b"".join(part["unit"]), dtype=np.float32).reshape(size, -1)
-                    yield from compare(part["model"].iloc[0], part["ordering"].iloc[0], part["id"].to_numpy(), m, done, last)
+                    yield from compare(held.iloc[:size], done, last)
                     done = last
                 if not closed:
                     drop = max(0, done - width)
@@ -137,13 +141,13 @@ def _windows(width: int, k: int):
                     break
                 held, done = held.iloc[size:].reset_index(drop=True), 0
         if held is not None and len(held) > done:
-            m = np.frombuffer(b"".join(held["unit"]), dtype=np.float32).reshape(len(held), -1)
-            yield from compare(held["model"].iloc[0], held["ordering"].iloc[0], held["id"].to_numpy(), m, done, len(held))
+            yield from compare(held, done, len(held))
 
     return run
 
 
-_BEST = "array_sort(array_distinct(flatten(collect_list(pairs))), (x, y) -> case when round(x.similarity, 9) > round(y.similarity, 9) then -1 when round(x.similarity, 9) < round(y.similarity, 9) then 1 when x.id < y.id then -1 when x.id > y.id then 1 else 0 end)"
+#: Pairs are (similarity lost to 9 decimals, id): their plain order is best first, ties to the smaller id.
+_BEST = "sort_array(array_distinct(flatten(collect_list(pairs))))"
 
 
 def most_similar(
@@ -157,38 +161,39 @@ def most_similar(
     """
     spark = vectors.sparkSession
     rows = vectors.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col("model").cast("string"), F.lit("")).alias("model"), F.col("vector").cast("array<float>").alias("vector")).dropDuplicates(["model", "id"])
-    usable = rows.mapInPandas(_usable(dimensions), "id long, model string, direction binary, unit binary")
+    usable = rows.mapInPandas(_usable(dimensions), "id long, model string, direction binary, raw binary")
     usable = cut(usable.withColumn("class", F.xxhash64("model", "direction")))
     # Classes of equal direction. A class of one is its own; of larger ones the k + 1 smallest ids are all that can be a neighbour.
     order = Window.partitionBy("model", "class").orderBy("id")
     smallest = usable.select("model", "class", "id").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
     classes = smallest.groupBy("model", "class").agg(F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("members"))
-    sizes = usable.groupBy("model", "class").agg(F.count("*").alias("size"), F.min_by("unit", "id").alias("unit"), F.min("id").alias("id"))
+    sizes = usable.groupBy("model", "class").agg(F.count("*").alias("size"), F.min_by("raw", "id").alias("raw"), F.min("id").alias("id"))
     reps = cut(sizes.join(classes.select("model", "class", "members"), ["model", "class"]))
     count = reps.count()
     tasks = max(spark.sparkContext.defaultParallelism, -(-count * orderings // rows_per_task))
-    keyed = reps.select("id", "model", "unit").mapInPandas(_keyed(orderings, axes, bits), "model string, ordering int, key long, id long, unit binary")
+    keyed = reps.select("id", "model", "raw").mapInPandas(_keyed(orderings, axes, bits), "model string, ordering int, key long, id long, raw binary")
     laid = keyed.repartitionByRange(int(tasks), "model", "ordering", "key").sortWithinPartitions("model", "ordering", "key", "id")
     near = laid.mapInPandas(_windows(width, k + 2), "model string, id long, near array<long>, sims array<double>")
-    pairs = near.select("model", F.col("id"), F.expr("transform(arrays_zip(near, sims), x -> named_struct('id', x.near, 'similarity', x.sims))").alias("pairs"))
+    pairs = near.select("model", F.col("id"), F.expr("transform(arrays_zip(near, sims), x -> named_struct('lost', round(1 - x.sims, 9) + 0D, 'id', x.near))").alias("pairs"))
     merged = pairs.groupBy("model", "id").agg(F.expr(_BEST).alias("pairs")).select("model", "id", F.slice("pairs", 1, k + 2).alias("pairs"))
     # Spread classes out: a class's neighbours are its own other members and those of the nearest classes.
-    nearest = merged.select("model", "id", F.explode("pairs").alias("pair")).select("model", F.col("id").alias("rep"), F.col("pair.id").alias("other"), F.col("pair.similarity").alias("similarity"))
-    own = reps.select("model", F.col("id").alias("rep"), F.col("id").alias("other"), F.lit(1.0).alias("similarity"))
+    nearest = merged.select("model", "id", F.explode("pairs").alias("pair")).select("model", F.col("id").alias("rep"), F.col("pair.id").alias("other"), F.col("pair.lost").alias("lost"))
+    own = reps.select("model", F.col("id").alias("rep"), F.col("id").alias("other"), F.lit(0.0).alias("lost"))
     members = reps.select("model", F.col("id").alias("other"), "members")
-    every = nearest.unionByName(own).join(members, ["model", "other"]).select("model", "rep", F.expr("transform(members, m -> named_struct('id', m, 'similarity', similarity))").alias("pairs"))
+    every = nearest.unionByName(own).join(members, ["model", "other"]).select("model", "rep", F.expr("transform(members, m -> named_struct('lost', lost, 'id', m))").alias("pairs"))
     lists = every.groupBy("model", "rep").agg(F.expr(_BEST).alias("pairs")).select("model", "rep", F.slice("pairs", 1, k + 1).alias("pairs"))
     # Large classes are cut into parts of 50 000 members, so that no task gets a whole one.
     salted = lists.join(reps.select("model", F.col("id").alias("rep"), "class", "size"), ["model", "rep"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.floor(F.col("size") / 50_000).cast("int"))))
     parts = sizes.select("model", "class", F.floor(F.col("size") / 50_000 + 1).cast("long").alias("parts")).where("parts > 1")
     member = usable.select("model", "class", "id").join(parts, ["model", "class"], "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int"))
     found = member.join(salted.select("model", "class", "part", "pairs"), ["model", "class", "part"])
-    return found.select("model", "id", F.slice(F.filter("pairs", lambda x: x["id"] != F.col("id")), 1, k).alias("near"))
+    others = F.slice(F.filter("pairs", lambda x: x["id"] != F.col("id")), 1, k)
+    return found.select("model", "id", F.transform(others, lambda x: F.struct(x["id"].alias("id"), (1 - x["lost"]).alias("similarity"))).alias("near"))
 
 
 def similar_pairs(vectors: DataFrame, least: float = 0.9, **parameters) -> DataFrame:
     """``a, b``: the pairs, a below b, of which one is among the other's most similar and whose similarity is at least ``least``."""
-    near = most_similar(vectors, **parameters).select("id", F.explode("near").alias("other")).where(F.col("other.similarity") >= least)
+    near = most_similar(vectors, **parameters).select("id", F.explode("near").alias("other")).where(F.round(F.col("other.similarity"), 9) >= least)
     return near.select(F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b")).distinct()
 
 
@@ -197,7 +202,7 @@ def _exact(queries: list[tuple], k: int):
     wanted: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for model in {q[1] for q in queries}:
         own = [q for q in queries if q[1] == model]
-        wanted[model] = (np.array([q[0] for q in own]), np.stack([np.frombuffer(q[2], dtype=np.float64) for q in own]))
+        wanted[model] = (np.array([q[0] for q in own]), _units(pd.Series([q[2] for q in own])))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -206,7 +211,7 @@ def _exact(queries: list[tuple], k: int):
                     continue
                 ids, m = wanted[model]
                 others = rows["id"].to_numpy()
-                sims = np.round(m @ np.stack([np.frombuffer(u, dtype=np.float64) for u in rows["unit"]]).T, 9)
+                sims = np.round(m @ _units(rows["raw"]).T, 9)
                 sims[ids[:, None] == others[None, :]] = -2
                 order = np.lexsort((np.broadcast_to(others, sims.shape), -sims), axis=1)[:, :k]
                 near = np.take_along_axis(sims, order, 1)
@@ -222,13 +227,13 @@ def recall(vectors: DataFrame, id_column: str = "chunk_id", k: int = 10, every:
     """
     found = most_similar(vectors, id_column, k, **parameters).where(F.col("id") % every == 0).select("model", "id", F.explode("near").alias("n")).select("model", "id", F.col("n.id").alias("other"))
     rows = vectors.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col("model").cast("string"), F.lit("")).alias("model"), F.col("vector").cast("array<float>").alias("vector")).dropDuplicates(["model", "id"])
-    usable = cut(rows.mapInPandas(_usable(DIMENSIONS), "id long, model string, direction binary, unit binary").select("id", "model", "unit"))
+    usable = cut(rows.mapInPandas(_usable(DIMENSIONS), "id long, model string, direction binary, raw binary").select("id", "model", "raw"))
     asked = usable.where(F.col("id") % every == 0)
     best: DataFrame | None = None
     held: list[tuple] = []
     pieces = []
     for row in asked.toLocalIterator():
-        held.append((row["id"], row["model"], bytes(row["unit"])))
+        held.append((row["id"], row["model"], bytes(row["raw"])))
         if len(held) == block:
             pieces.append(cut(_best_exact(usable, held, k)))
             held = []

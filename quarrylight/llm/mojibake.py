@@ -48,7 +48,7 @@ _UPPER_INSIDE = re.compile(r"(?<=[a-zß-öø-ÿа-яё])[À-ÖØ-ÞĄĆĘŁŃŚ
 _MIXED = re.compile(r"[A-Za-zÀ-ÿ][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-zÀ-ÿ]")
 _LONG_ACCENTS = re.compile(r"[À-ÿŒœŠšŸŽžĀ-ſ¨°¸´¹²³]{4,}")
 _CONTROL = re.compile("[\x80-\x9f\ufffd]")
-_CAPS = re.compile(r"[А-ЯЁ]{4,}")
+_ACCENTED = re.compile("[À-ſ]")
 _CYRILLIC = re.compile(r"[А-Яа-яЁё]{3,}")
 
 
@@ -60,33 +60,41 @@ def language(text: str) -> str | None:
     return first if found[first] >= 3 and found[first] > 2 * found[second] else None
 
 
-@lru_cache(maxsize=1 << 14)
-def _russian(word: str) -> float:
-    low = word.lower()
-    return sum(_RU.get(c, 0.5) for c in low) / len(low)
+@lru_cache(maxsize=1 << 17)
+def _run_cost(before: str, run: str, after: str) -> float:
+    """The cost of one run of characters beyond ASCII, seen with what stands next to it."""
+    context, first, last = before + run + after, len(before), len(before) + len(run)
+    total = 2.0 * len(_CONTROL.findall(run)) + sum(len(x) for x in _LONG_ACCENTS.findall(run))
+    for pattern in (_SIGN_IN_WORD, _UPPER_INSIDE, _MIXED):
+        for m in pattern.finditer(context):
+            at = m.start() + (context[m.start()] < "\x80")
+            total += first <= at < last
+    for x in run:
+        if "À" <= x <= "ſ" and x not in _LETTERS:
+            total += 0.7
+        elif x in "¬¶¤¦¨¸¯" or "⌐" <= x <= "⌠" or "▀" <= x <= "▟":
+            total += 0.5
+    return total
 
 
 def cost(text: str, lang: str | None = None) -> float:
     """How garbled ``text`` looks; 0 for clean text of any script."""
-    total = 2.0 * len(_CONTROL.findall(text)) + len(_SIGN_IN_WORD.findall(text)) + len(_UPPER_INSIDE.findall(text)) + len(_MIXED.findall(text))
-    total += sum(len(x) for x in _LONG_ACCENTS.findall(text))
-    own = ALPHABETS.get(lang or "")
-    for c in _RUN.findall(text):
-        for x in c:
-            if "À" <= x <= "ſ" and x not in _LETTERS:
-                total += 0.7
-            elif own and "À" <= x <= "ſ" and x.lower() not in own:
-                total += 0.3
-            elif x in "¬¶¤¦¨¸¯" or "⌐" <= x <= "⌠" or "▀" <= x <= "▟":
-                total += 0.5
-    cyrillic = _CYRILLIC.findall(text)
-    if cyrillic:
-        letters = "".join(cyrillic)
+    total, foreign, own = 0.0, 0, ALPHABETS.get(lang or "")
+    cyrillic = False
+    for m in _RUN.finditer(text):
+        a, b = m.span()
+        run = m.group()
+        total += _run_cost(text[max(0, a - 4) : a], run, text[b : b + 4])
+        cyrillic = cyrillic or "Ѐ" <= run[0] <= "ӿ" or "Ѐ" <= run[-1] <= "ӿ"
+        if own:
+            foreign += sum("À" <= x <= "ſ" and x in _LETTERS and x.lower() not in own for x in run)
+    if cyrillic and (words := _CYRILLIC.findall(text)):
+        letters = "".join(words)
         if len(letters) >= 6:
-            mean = _russian(letters) if len(letters) < 60 else sum(_RU.get(c, 0.5) for c in letters.lower()) / len(letters)
+            mean = sum(_RU.get(c, 0.5) for c in letters.lower()) / len(letters)
             if mean < 36:
                 total += (36 - mean) / 36 * len(letters)
-    return total
+    return total + 0.3 * foreign
 
 
 @lru_cache(maxsize=1 << 16)
@@ -136,29 +144,30 @@ def _utf8_run(run: str, encoding: str) -> tuple[str, int]:
     return "".join(out), gone
 
 
-def _utf8_layer(text: str) -> str:
-    def mend(m: re.Match) -> str:
-        run = m.group()
-        if len(run) < 2:
-            return run
-        best, saved = run, 0
-        for encoding in SEEN_AS:
-            if encoding in ("cp866", "mac_cyrillic") and run.isalpha():
-                continue  # Cyrillic words can look like UTF-8 there
-            mended, gone = _utf8_run(run, encoding)
-            if gone > saved and _signs(mended) <= _signs(run):
-                best, saved = mended, gone
-        if not saved and len(run) >= 4:
-            for encoding in SEEN_AS_WIDE:
-                try:
-                    mended = run.encode(encoding).decode("utf-8")
-                except (UnicodeEncodeError, UnicodeDecodeError):
-                    continue
-                if len(mended) < len(run) * 1.1 and all(_plain(c) for c in mended):
-                    return mended
-        return best
+@lru_cache(maxsize=1 << 16)
+def _mended(run: str) -> str:
+    """``run`` read in as the single wrong encoding that explains most of it, or as it is."""
+    best, saved = run, 0
+    for encoding in SEEN_AS:
+        if encoding in ("cp866", "mac_cyrillic") and run.isalpha():
+            continue  # Cyrillic words can look like UTF-8 there
+        mended, gone = _utf8_run(run, encoding)
+        if gone > saved and _signs(mended) <= _signs(run):
+            best, saved = mended, gone
+    if not saved and len(run) >= 4:
+        for encoding in SEEN_AS_WIDE:
+            try:
+                mended = run.encode(encoding).decode("utf-8")
+            except (UnicodeEncodeError, UnicodeDecodeError):
+                continue
+            if len(mended) < len(run) * 1.1 and all(_plain(c) for c in mended):
+                return mended
+    return best
 
-    return _RUN.sub(mend, text)
+
+def _utf8_layer(text: str) -> str:
+    # Runs come back again and again: what one is mended to is remembered.
+    return _RUN.sub(lambda m: _mended(m.group()) if len(m.group()) > 1 else m.group(), text)
 
 
 def _signs(run: str) -> int:
@@ -197,13 +206,17 @@ def _layer(text: str) -> str:
     out = []
     for line in text.split("\n"):
         if not line.isascii():
-            lang = language(line)
-            mended = line
+            mended, lang = line, None
             for _ in range(4):  # inner layers show only when outer ones are gone
                 mended, last = _utf8_layer(mended), mended
                 if mended == last:
                     break
-            before, now = cost(line, lang), cost(mended, lang)
+            if len(_ACCENTED.findall(line)) >= 3:  # fewer letters foreign to a language are no sign
+                lang = language(line)
+            before = cost(line, lang)
+            if before >= 0.9 and lang is None:
+                lang = language(line)
+            now = cost(mended, lang)
             if now >= 0.9 and before >= 0.9:
                 other = _legacy(line, lang, before)
                 if other is not None and cost(other, lang) < now:

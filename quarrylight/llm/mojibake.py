@@ -194,7 +194,7 @@ def _legacy(stretch: str, lang: str | None, before: float) -> str | None:
             if meant in ("shift_jis", "euc_jp", "gbk"):
                 wide = sum(c > "⿿" for c in mended)
                 kana = sum("぀" <= c <= "ヿ" for c in mended)
-                if wide < 3 or (meant != "gbk" and kana < 1):
+                if wide < 3 or wide < 0.3 * sum(c.isalpha() for c in mended) or (meant != "gbk" and kana < 1):
                     continue
             if now < least:
                 best, least = mended, now
@@ -203,6 +203,7 @@ def _legacy(stretch: str, lang: str | None, before: float) -> str | None:
 
 def _layer(text: str) -> str:
     """``text`` with one layer of wrong decoding undone, line by line."""
+    fallback = ""  # the language of the whole text, told when a line's own can't be
     out = []
     for line in text.split("\n"):
         if not line.isascii():
@@ -215,7 +216,9 @@ def _layer(text: str) -> str:
                 lang = language(line)
             before = cost(line, lang)
             if before >= 0.9 and lang is None:
-                lang = language(line)
+                if not (lang := language(line)):
+                    fallback = fallback if fallback != "" else language(text)
+                    lang = fallback
             now = cost(mended, lang)
             if now >= 0.9 and before >= 0.9:
                 other = _legacy(line, lang, before)
@@ -267,4 +270,6 @@ def repair_documents(documents: DataFrame) -> DataFrame:
     A null text gives a null and isn't garbled; an empty one stays empty; a row given twice comes out twice; an empty
     table gives none; other columns are ignored. Each text is looked at as a whole, whatever its length.
     """
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInPandas(_repair_batches, "doc_id long, restored string, garbled boolean")
+    # Ids go through as text: numbers beside nulls would lose digits on the way.
+    rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInPandas(_repair_batches, "doc_id string, restored string, garbled boolean").withColumn("doc_id", F.col("doc_id").cast("long"))

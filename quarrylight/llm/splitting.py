@@ -153,7 +153,7 @@ def _index_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = b.drop(columns=["text"])
         out["size"] = pd.array([None if t is None else len(t) for t in b["text"]], dtype="Int64")
         out["lines"] = pd.array([None if p is None else len(p) - 1 for p in whole], dtype="Int64")
-        out["digest"] = pd.array([None if p is None else p[-1] - (1 << 63) for p in whole], dtype="Int64")
+        out["digest"] = [None if p is None else f"{p[-1]:016x}" for p in whole]  # text, as numbers beside nulls lose digits on the way
         yield out
 
 
@@ -162,7 +162,7 @@ def _differ(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         wrong = []
         for raw, start, end, lines, digest in zip(b["prefixes"], b["start_line"], b["end_line"], b["lines"], b["digest"], strict=True):
-            if raw is None or pd.isna(start) or pd.isna(end) or pd.isna(digest):
+            if raw is None or digest is None or pd.isna(start) or pd.isna(end):
                 wrong.append(True)
                 continue
             prefixes = np.frombuffer(raw, dtype=np.uint64)
@@ -173,7 +173,7 @@ def _differ(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             while len(powers) <= lines:
                 powers.append(powers[-1] * _BASE & _MASK)
             there = (int(prefixes[end]) - int(prefixes[start - 1]) * powers[int(lines)]) & _MASK
-            wrong.append(there - (1 << 63) != digest)
+            wrong.append(f"{there:016x}" != digest)
         yield pd.DataFrame({"piece_id": b["piece_id"], "wrong": wrong})
 
 
@@ -183,8 +183,8 @@ def faulty_pieces(pieces: DataFrame, files: DataFrame, most: int = MAX_SIZE, ove
     Pieces of a file follow each other by start_line (nulls last), then id. A null text, line or a missing file is a
     fault of the piece; null ids are ignored; repeated rows count once; an empty table gives none.
     """
-    rows = pieces.select(F.col("id").cast("long").alias("piece_id"), F.col("file_id").cast("long").alias("file_id"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.col("content_text").alias("text")).where("piece_id is not null").dropDuplicates(["piece_id"])
-    indexed = rows.mapInPandas(_index_pieces, "piece_id long, file_id long, start_line long, end_line long, size long, lines long, digest long")
+    rows = pieces.select(F.col("id").cast("long").alias("piece_id"), F.col("file_id").cast("string").alias("file_id"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.col("content_text").alias("text")).where("piece_id is not null").dropDuplicates(["piece_id"])
+    indexed = rows.mapInPandas(_index_pieces, "piece_id long, file_id string, start_line long, end_line long, size long, lines long, digest string").withColumn("file_id", F.col("file_id").cast("long"))
     texts = files.select(F.col("id").cast("long").alias("file_id"), F.col("content_text").alias("text")).where("text is not null and file_id is not null").dropDuplicates(["file_id"])
     prefixes = texts.mapInPandas(_index_files, "file_id long, prefixes binary")
     order = Window.partitionBy("file_id").orderBy(F.col("start_line").asc_nulls_last(), "piece_id")

@@ -305,3 +305,15 @@ def _(t):
 def _(t):
     kinds = t.spark.createDataFrame([("handler",), ("config",), ("test",)], "k string")
     return t.sources.select("name").crossJoin(F.broadcast(kinds)).select(F.concat(F.lit("find "), "k", F.lit(" in "), "name").alias("query"), F.concat("name", F.lit("-"), "k").alias("id")).distinct()
+
+
+@P.add("g_annotations", "SELECT c.id, c.file_id, c.start_line FROM chunks c WHERE regexp_matches(c.content_text, 'TODO[ \\t]+\\w+')")
+def _(t):
+    found = enrich.annotations(t.chunks, [("todo", r"TODO\s+(\w+)", 1)]).select("id").distinct()
+    return t.chunks.select("id", "file_id", "start_line").join(found, "id", "left_semi")
+
+
+@P.add("g_profile_facts", "SELECT id, count(*) AS n FROM symbols GROUP BY 1 HAVING count(*) > 1")
+def _(t):
+    """Symbols for which a fact would be set twice."""
+    return t.symbols.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")

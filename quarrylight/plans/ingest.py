@@ -232,3 +232,15 @@ def _(t):
     place = f"{checkpoint_dir(t.spark)}/vectors-{uuid.uuid4().hex}"
     t.chunk_embeddings.where("vector is not null").write.partitionBy("model").parquet(place)
     return t.spark.read.parquet(place).groupBy("model").agg(F.count("*").alias("vectors"))
+
+
+@P.add("ve_state_machine", "SELECT * FROM (VALUES ('building', 'sealed', true), ('sealed', 'active', false), ('active', 'superseded', true), ('superseded', 'building', false)) AS x(state, target, allowed)")
+def _(t):
+    def allowed(a: str, b: str) -> bool:
+        try:
+            return versions.advance(a, b) == b
+        except versions.VersionError:
+            return False
+
+    steps = [("building", "sealed"), ("sealed", "active"), ("active", "superseded"), ("superseded", "building")]
+    return t.spark.createDataFrame([(a, b, allowed(a, b)) for a, b in steps], "state string, target string, allowed boolean")

@@ -441,3 +441,48 @@ def _(t):
         parts = one if parts is None else parts.unionByName(one)
     top = exact.search(EXACT_QUERY, _bindings(t), _documents(t), limit=None).orderBy(F.round("score", 9).desc(), "occurrence_id").limit(20)
     return parts.join(top.select("occurrence_id"), "occurrence_id", "left_semi")
+
+
+@P.add("ex_binding", f"SELECT file_id AS occurrence_id, id AS doc_id, row_number() OVER (PARTITION BY file_id ORDER BY start_line, id) AS ordinal, CASE WHEN chunk_type = 'function' THEN 1.2 ELSE 1.0 END::DOUBLE AS role_weight FROM chunks WHERE content_text IS NOT NULL")
+def _(t):
+    return _bindings(t).select("occurrence_id", "doc_id", F.col("ordinal").cast("long").alias("ordinal"), "role_weight")
+
+
+@P.add("ex_term_score", f"WITH {COMPONENTS_SQL} SELECT o AS occurrence_id, term, round(s, 6) AS score FROM ts WHERE term <> 'digest'")
+def _(t):
+    parts = None
+    for term in ("frontier", "token", "cursor"):
+        one = exact.search(exact.Term(term), _bindings(t), _documents(t), limit=None).select("occurrence_id", F.lit(term).alias("term"), F.round("score", 6).alias("score"))
+        parts = one if parts is None else parts.unionByName(one)
+    return parts
+
+
+@P.add("ex_best_component", f"""WITH {COMPONENTS_SQL} SELECT o AS occurrence_id, id AS doc_id FROM (SELECT o, id, row_number() OVER (PARTITION BY o ORDER BY round(w * tf / (tf + 0.5 + 0.5 * vl / a), 9) DESC, id) AS n FROM tf JOIN vw USING (o), st WHERE term = 'frontier' AND tf > 0) WHERE n = 1""")
+def _(t):
+    from pyspark.sql import Window
+
+    ws = tx.words(F.col("text"))
+    parts = _bindings(t).join(_documents(t), "doc_id").select("occurrence_id", "doc_id", "role_weight", F.size(ws).alias("length"), F.size(F.filter(ws, lambda w: w == "frontier")).alias("tf"))
+    views = parts.groupBy("occurrence_id").agg(F.sum("length").alias("vl"))
+    scored = parts.where("tf > 0").join(views, "occurrence_id").crossJoin(F.broadcast(views.agg(F.avg("vl").alias("a"))))
+    score = F.round(F.col("role_weight") * F.col("tf") / (F.col("tf") + 0.5 + 0.5 * F.col("vl") / F.col("a")), 9)
+    best = Window.partitionBy("occurrence_id").orderBy(score.desc(), "doc_id")
+    return scored.withColumn("n", F.row_number().over(best)).where("n = 1").select("occurrence_id", "doc_id")
+
+
+@P.add("ex_active", f"""WITH {COMPONENTS_SQL} SELECT f.source_id, count(*) AS hits, round(max(score), 6) AS best FROM hit JOIN files f ON f.id = hit.o JOIN sources s ON s.id = f.source_id GROUP BY 1""")
+def _(t):
+    hits = exact.search(EXACT_QUERY, _bindings(t), _documents(t), limit=None).join(t.files.select(F.col("id").alias("occurrence_id"), "source_id"), "occurrence_id").join(t.sources.select(F.col("id").alias("source_id")), "source_id", "left_semi")
+    return hits.groupBy("source_id").agg(F.count("*").alias("hits"), F.round(F.max("score"), 6).alias("best"))
+
+
+@P.add("ex_copied_recall", f"SELECT f.id FROM files f WHERE list_contains({sql_words('content_text')}, 'frontier') AND NOT EXISTS (SELECT 1 FROM chunks c WHERE c.file_id = f.id AND list_contains({sql_words('c.content_text')}, 'frontier'))")
+def _(t):
+    """Files that hold the word as a whole although none of their pieces does."""
+    pieces = t.chunks.where(F.array_contains(tx.words(F.col("content_text")), "frontier")).select(F.col("file_id").alias("id"))
+    return t.files.where(F.array_contains(tx.words(F.col("content_text")), "frontier")).select("id").join(pieces, "id", "left_anti")
+
+
+@P.add("degrade_mode", "SELECT * FROM (VALUES (true, true, 'full'), (false, true, 'no-vectors'), (true, false, 'no-rerank'), (false, false, 'words-only')) AS x(vectors, reranker, mode)")
+def _(t):
+    return t.spark.createDataFrame([(v, r, retrieval.degraded_mode(v, r)) for v in (True, False) for r in (True, False)], "vectors boolean, reranker boolean, mode string")

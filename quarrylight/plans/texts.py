@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarrylight.functions import scoring, text
-from quarrylight.operators import chunking
+from quarrylight.functions import english, scoring, text
+from quarrylight.operators import chunking, exact
 from quarrylight.plans.registry import QUERY_VALUES, Plans, query_table
 from quarrylight.sources import adapters
 
@@ -393,3 +393,54 @@ def _(t):
     SELECT id, sha256(unhex(lpad(lower(to_hex(strlen(path))), 16, '0') || lower(hex(encode(path))) || lpad(lower(to_hex(strlen(coalesce(language, '')))), 16, '0') || lower(hex(encode(coalesce(language, '')))))) AS digest FROM files""")
 def _(t):
     return t.files.select("id", text.framed_hash(F.col("path"), F.coalesce("language", F.lit(""))).alias("digest"))
+
+
+@P.add("fts_weighted_vector", f"""
+    SELECT id, term, weight, count(*) AS n FROM (SELECT id, 'A' AS weight, unnest({sql_words('content_text')}) AS term FROM chunks UNION ALL SELECT id, 'B', unnest({sql_words('context_prefix')}) FROM chunks UNION ALL SELECT id, 'C', unnest({sql_words('chunk_type')}) FROM chunks) GROUP BY ALL""")
+def _(t):
+    parts = [t.chunks.select("id", F.lit(w).alias("weight"), F.explode(text.words(F.col(c))).alias("term")) for w, c in (("A", "content_text"), ("B", "context_prefix"), ("C", "chunk_type"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("id", "term", "weight").agg(F.count("*").alias("n"))
+
+
+@P.add("fts_english")
+def _(t):
+    return t.documents.where("text is not null").select("doc_id", F.explode(english.english_terms(F.col("text"))).alias("stem")).groupBy("doc_id", "stem").agg(F.count("*").alias("tf"))
+
+
+@P.add("fts_websearch_query", f"SELECT doc_id FROM documents WHERE list_contains({sql_words('text')}, 'chunks') AND NOT list_contains({sql_words('text')}, 'queue') AND (list_contains({sql_words('text')}, 'stale') OR list_contains({sql_words('text')}, 'sealed'))")
+def _(t):
+    tree = exact.parse("chunks (stale OR sealed) -queue")
+    ws = text.words(F.col("text"))
+    return t.documents.where("text is not null").where(exact.holds(tree, lambda leaf: F.array_contains(ws, leaf.value))).select("doc_id")
+
+
+def _trees(t):
+    rows = []
+    for i, q in [(1, "frontier (token OR cursor) -digest"), (2, '"sealed generations" chunks'), (3, "a AND b AND c"), (4, "NOT x"), (5, "id:password_hash token")]:
+        try:
+            tree = exact.parse(q)
+            found = exact.leaves(tree)
+            rows.append((i, True, repr(tree), [x.value for x, neg in found if not neg], [x.value for x, neg in found if neg], exact.simple_conjunction(tree)))
+        except exact.QueryError as e:
+            rows.append((i, False, str(e), [], [], None))
+    return t.spark.createDataFrame(rows, "query_id int, valid boolean, tree string, positive array<string>, negative array<string>, conjunction array<string>")
+
+
+@P.add("q_parse")
+def _(t):
+    return _trees(t).select("query_id", "valid", "tree")
+
+
+@P.add("q_ast_leaves", "SELECT * FROM (VALUES (1, ['frontier', 'token', 'cursor'], ['digest']), (2, ['sealed generations', 'chunks'], []), (3, ['a', 'b', 'c'], []), (4, [], []), (5, ['password_hash', 'token'], [])) AS x(query_id, positive, negative)")
+def _(t):
+    return _trees(t).select("query_id", "positive", "negative")
+
+
+@P.add("q_ast_validate", "SELECT * FROM (VALUES (1, true), (2, true), (3, true), (4, false), (5, true)) AS x(query_id, valid)")
+def _(t):
+    return _trees(t).select("query_id", "valid")
+
+
+@P.add("q_simple_and", "SELECT * FROM (VALUES (3, ['a', 'b', 'c'])) AS x(query_id, conjunction)")
+def _(t):
+    return _trees(t).select("query_id", "conjunction").where("conjunction is not null")

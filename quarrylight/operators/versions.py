@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylight.core.parts import running_before
+
 # Which state of a snapshot may follow which.
 TRANSITIONS = {
     "building": {"sealed"}, "sealed": {"verified", "building"}, "verified": {"release_candidate", "sealed"}, "release_candidate": {"active", "verified"},
@@ -89,10 +91,10 @@ def bodies(texts: DataFrame) -> DataFrame:
     return texts.groupBy(F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("size")).agg(F.count("*").alias("uses"), F.min("id").alias("first_id"), (F.min("text") != F.max("text")).alias("clash"))
 
 
-def pack_offsets(items: DataFrame, pack: str, most: int | None = None) -> DataFrame:
+def pack_offsets(items: DataFrame, pack: str) -> DataFrame:
     """``id, at``: where an item starts in its pack: the sizes of those before it."""
-    before = Window.partitionBy(pack).orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    return items.select(pack, "id", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long").alias("at"))
+    placed = running_before(items.select(pack, "id", "size"), [pack], "id", F.coalesce(F.col("size").cast("long"), F.lit(0)))
+    return placed.select(pack, "id", F.col("before").cast("long").alias("at"))
 
 
 def repack(packs: DataFrame, dead_share: float = 0.5, free_bytes: int | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarrylight.core import parts
 from quarrylight.operators import versions
 from quarrylight.plans.registry import Plans
 
@@ -209,18 +210,18 @@ def _(t):
     return versions.dual_read(old, new)
 
 
-@P.add("st_export_import", "SELECT count(*) AS records, sha256(string_agg(id || ':' || sha256(coalesce(name, '')), '' ORDER BY id)) AS digest FROM (SELECT DISTINCT id, name FROM symbols)")
+@P.add("st_export_import", "SELECT CAST(sum(n) AS BIGINT) AS records, sha256(string_agg(d, '' ORDER BY b)) AS digest FROM (SELECT id // 10000 AS b, count(*) AS n, sha256(string_agg(id || ':' || sha256(coalesce(name, '')), '' ORDER BY id)) AS d FROM (SELECT DISTINCT id, name FROM symbols) GROUP BY 1)")
 def _(t):
-    """Records in order with one digest over all, as an import checks it. Digests of blocks come first, so no task gets all names."""
-    rows = t.symbols.select("id", "name").distinct().select("id", F.concat(F.col("id").cast("string"), F.lit(":"), F.sha2(F.coalesce("name", F.lit("")), 256)).alias("r"))
-    blocks = rows.groupBy(F.floor(F.col("id") / 10000).alias("block")).agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "r"))), lambda x: x["r"]), "").alias("part"))
-    return blocks.agg(F.sum("n").alias("records"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "part"))), lambda x: x["part"]), ""), 256).alias("digest"))
+    """Records with one digest over all, as an import checks it: of the digests of blocks, so no task gets all names."""
+    rows = t.symbols.select(F.lit(1).alias("all"), "id", "name").distinct()
+    leaf = F.concat(F.col("id").cast("string"), F.lit(":"), F.sha2(F.coalesce("name", F.lit("")), 256))
+    return parts.digest_tree(rows, ["all"], leaf, F.col("id"), F.floor(F.col("id") / 10000)).select(F.col("items").alias("records"), F.col("root").alias("digest"))
 
 
-@P.add("sink_bulk_upsert", "SELECT id, name, CASE WHEN id % 2 = 0 THEN upper(type) ELSE type END AS type FROM sources")
+@P.add("sink_bulk_upsert", "SELECT id, name, CASE WHEN type = 'git' THEN upper(type) ELSE type END AS type FROM sources")
 def _(t):
     stored = t.sources.select("id", "name", "type")
-    return versions.upsert(stored, stored.where("id % 2 = 0").withColumn("type", F.upper("type")), ["id"])
+    return versions.upsert(stored, stored.where("type = 'git'").withColumn("type", F.upper("type")), ["id"])
 
 
 @P.add("sink_vector_upsert", "SELECT model, count(*) AS vectors FROM chunk_embeddings WHERE vector IS NOT NULL GROUP BY 1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quarrylight.core import parts
 from quarrylight.operators import access
 from quarrylight.plans.registry import Plans
 
@@ -288,16 +289,17 @@ def _(t):
 
 
 @P.add("agg_merkle_root", """
-    SELECT source_id, sha256(string_agg(lpad(lower(to_hex(strlen(path))), 16, '0') || path || lower(hex(hash)), '' ORDER BY path, id)) AS root, count(*) AS items FROM files GROUP BY 1""")
+    SELECT source_id, sha256(string_agg(d, '' ORDER BY b)) AS root, CAST(sum(n) AS BIGINT) AS items FROM (
+        SELECT source_id, substr(sha256(path), 1, 3) AS b, sha256(string_agg(lpad(lower(to_hex(strlen(path))), 16, '0') || path || lower(hex(hash)), '' ORDER BY path, id)) AS d, count(*) AS n FROM files GROUP BY 1, 2) GROUP BY 1""")
 def _(t):
-    part = F.concat(F.lpad(F.lower(F.hex(F.octet_length("path"))), 16, "0"), "path", F.lower(F.hex("hash")))
-    items = F.array_sort(F.collect_list(F.struct("path", "id", part.alias("part"))))
-    return t.files.groupBy("source_id").agg(F.sha2(F.array_join(F.transform(items, lambda x: x["part"]), ""), 256).alias("root"), F.count("*").alias("items"))
+    leaf = F.concat(F.lpad(F.lower(F.hex(F.octet_length("path"))), 16, "0"), "path", F.lower(F.hex("hash")))
+    return parts.digest_tree(t.files, ["source_id"], leaf, F.struct("path", "id"), F.substring(F.sha2("path", 256), 1, 3))
 
 
 @P.add("agg_percentile", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1")
 def _(t):
-    return t.events.groupBy("event_type").agg(*[F.round(F.percentile("value", p), 6).alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
+    found = parts.percentiles(t.events, "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return found.select("event_type", *[F.round(n, 6).alias(n) for n in ("p50", "p95", "p99")])
 
 
 @P.add("agg_mean_stdev", "SELECT event_type, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS deviation FROM events GROUP BY 1")
@@ -326,7 +328,8 @@ def _(t):
 
 @P.add("win_row_number_bucket", "SELECT event_type, event_id, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 256 AS block FROM events")
 def _(t):
-    return t.events.select("event_type", "event_id", F.floor((F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1) / 256).cast("long").alias("block"))
+    ranked = parts.running_before(t.events.select("event_type", "event_id"), ["event_type"], "event_id", F.lit(1))
+    return ranked.select("event_type", "event_id", F.floor(F.col("before") / 256).alias("block"))
 
 
 @P.add("win_lag_adjacent", "SELECT id, prev IS NOT NULL AND start_line > prev + 1 AS gap FROM (SELECT id, start_line, lag(end_line) OVER (PARTITION BY file_id ORDER BY start_line, id) AS prev FROM chunks)")
@@ -353,10 +356,11 @@ def _(t):
 
 @P.add("topk_per_channel", """
     WITH a AS (SELECT event_id, user_id, value FROM events WHERE event_type = 'click' ORDER BY value DESC, event_id LIMIT 500), b AS (SELECT event_id, user_id, value FROM events WHERE event_type = 'view' ORDER BY value DESC, event_id LIMIT 500)
-    SELECT event_id, value FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE user_id % 2 = 0""")
+    SELECT event_id, value FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 20)""")
 def _(t):
     channel = lambda kind: t.events.where(F.col("event_type") == kind).orderBy(F.col("value").desc(), "event_id").limit(500)
-    return channel("click").unionByName(channel("view")).where("user_id % 2 = 0").select("event_id", "value")
+    tenants = t.events.where("event_type = 'purchase' and value > 20").select("user_id")
+    return channel("click").unionByName(channel("view")).join(tenants, "user_id", "left_semi").select("event_id", "value")
 
 
 @P.add("topk_boundary_ties", "SELECT event_id, v FROM (SELECT event_id, floor(value) AS v, rank() OVER (ORDER BY floor(value) DESC) AS r FROM events) WHERE r <= 20")

@@ -17,17 +17,12 @@ from quarrylight.core.storage import checkpoint_dir
 
 
 def change_stream(spark: SparkSession, base: str, table: str = "events") -> DataFrame:
-    """The rows of a table as a stream of its files."""
-    schema = spark.read.parquet(f"{base}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_folder(spark, base, table))
-
-
-def _folder(spark: SparkSession, base: str, table: str) -> str:
-    """A folder with the table's files: a single file is read through its folder by name."""
-    import os
-
-    path = f"{base}/{table}.parquet"
-    return path if os.path.isdir(path) else f"{base}/{{{table}.parquet,}}"
+    """The rows of a table (a folder of files, or one file) as a stream of its files."""
+    place = f"{base}/{table}.parquet"
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    reader = spark.readStream.schema(spark.read.parquet(place).schema)
+    return reader.parquet(place) if folder else reader.option("pathGlobFilter", f"{table}.parquet").parquet(base)
 
 
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:

@@ -31,8 +31,9 @@ def mix_documents(documents: DataFrame, targets: DataFrame, total_tokens: int |
     sizes = cut(token_sizes(chosen, "source", tokenizer=tokenizer).where("tokens > 0"))
     held = sizes.groupBy("source").agg(F.sum("tokens").alias("held"))
     able = wanted.where("share > 0 and most > 0").join(held, "source").withColumn("capacity", F.col("held") * F.col("most"))
-    size = F.lit(float(total_tokens)) if total_tokens is not None else F.min(F.col("capacity") / F.col("share"))
-    rates = able.crossJoin(F.broadcast(able.agg(size.alias("total")))).withColumn("goal", F.least(F.col("capacity").cast("double"), F.col("share") * F.col("total")))
+    if total_tokens is None:
+        total_tokens = able.agg(F.min(F.col("capacity") / F.col("share"))).first()[0] or 0
+    rates = able.withColumn("goal", F.least(F.col("capacity").cast("double"), F.col("share") * F.lit(float(total_tokens))))
     rates = rates.withColumn("rate", F.col("goal") / F.col("held")).withColumn("certain", F.floor(F.col("rate") + 1e-9)).withColumn("odds", F.greatest(F.col("rate") - F.col("certain"), F.lit(0.0)))
     rates = rates.select("source", "most", "certain", "odds", (F.col("goal") - F.col("certain") * F.col("held")).alias("rest"))
     # Targets are a small table that doesn't grow with the records.
@@ -66,6 +67,6 @@ def reached_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """``source, target_share, reached_share, tokens, records, most_copies, max_repeats``: what the mixture reached beside its targets."""
     wanted = targets.where("source is not null").groupBy("source").agg(F.sum(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.min("max_repeats").alias("max_repeats"))
     per = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("records"), F.max("copies").alias("most_copies"))
-    total = per.agg(F.sum("tokens").alias("total"))
-    joined = wanted.join(per, "source", "left").crossJoin(F.broadcast(total))
-    return joined.select("source", "target_share", F.round(F.coalesce(F.col("tokens") / F.col("total"), F.lit(0.0)), 6).alias("reached_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), "max_repeats")
+    total = per.agg(F.sum("tokens")).first()[0] or 1
+    joined = wanted.join(per, "source", "left")
+    return joined.select("source", "target_share", F.round(F.coalesce(F.col("tokens") / F.lit(total), F.lit(0.0)), 6).alias("reached_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), "max_repeats")

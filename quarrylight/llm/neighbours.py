@@ -146,6 +146,23 @@ def _windows(width: int, k: int):
     return run
 
 
+def _merge(k: int):
+    """The best ``k`` distinct neighbours of every row over all orderings (as many lists of one row as there are orderings)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            kept, lost = [], []
+            for ids, sims in zip(b["near"], b["sims"], strict=True):
+                ids, first = np.unique(ids, return_index=True)
+                away = np.round(1 - sims[first], 9) + 0.0
+                order = np.lexsort((ids, away))[:k]
+                kept.append(ids[order])
+                lost.append(away[order])
+            yield pd.DataFrame({"model": b["model"], "id": b["id"], "near": kept, "lost": lost})
+
+    return run
+
+
 #: Pairs are (similarity lost to 9 decimals, id): their plain order is best first, ties to the smaller id.
 _BEST = "sort_array(array_distinct(flatten(collect_list(pairs))))"
 
@@ -174,10 +191,10 @@ def most_similar(
     keyed = reps.select("id", "model", "raw").mapInPandas(_keyed(orderings, axes, bits), "model string, ordering int, key long, id long, raw binary")
     laid = keyed.repartitionByRange(int(tasks), "model", "ordering", "key").sortWithinPartitions("model", "ordering", "key", "id")
     near = laid.mapInPandas(_windows(width, k + 2), "model string, id long, near array<long>, sims array<double>")
-    pairs = near.select("model", F.col("id"), F.expr("transform(arrays_zip(near, sims), x -> named_struct('lost', round(1 - x.sims, 9) + 0D, 'id', x.near))").alias("pairs"))
-    merged = pairs.groupBy("model", "id").agg(F.expr(_BEST).alias("pairs")).select("model", "id", F.slice("pairs", 1, k + 2).alias("pairs"))
+    found = near.groupBy("model", "id").agg(F.flatten(F.collect_list("near")).alias("near"), F.flatten(F.collect_list("sims")).alias("sims"))
+    merged = found.mapInPandas(_merge(k + 2), "model string, id long, near array<long>, lost array<double>")
     # Spread classes out: a class's neighbours are its own other members and those of the nearest classes.
-    nearest = merged.select("model", "id", F.explode("pairs").alias("pair")).select("model", F.col("id").alias("rep"), F.col("pair.id").alias("other"), F.col("pair.lost").alias("lost"))
+    nearest = merged.select("model", F.col("id").alias("rep"), F.explode(F.arrays_zip("near", "lost")).alias("pair")).select("model", "rep", F.col("pair.near").alias("other"), F.col("pair.lost").alias("lost"))
     own = reps.select("model", F.col("id").alias("rep"), F.col("id").alias("other"), F.lit(0.0).alias("lost"))
     members = reps.select("model", F.col("id").alias("other"), "members")
     every = nearest.unionByName(own).join(members, ["model", "other"]).select("model", "rep", F.expr("transform(members, m -> named_struct('lost', lost, 'id', m))").alias("pairs"))
@@ -186,9 +203,9 @@ def most_similar(
     salted = lists.join(reps.select("model", F.col("id").alias("rep"), "class", "size"), ["model", "rep"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.floor(F.col("size") / 50_000).cast("int"))))
     parts = sizes.select("model", "class", F.floor(F.col("size") / 50_000 + 1).cast("long").alias("parts")).where("parts > 1")
     member = usable.select("model", "class", "id").join(parts, ["model", "class"], "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int"))
-    found = member.join(salted.select("model", "class", "part", "pairs"), ["model", "class", "part"])
+    spread = member.join(salted.select("model", "class", "part", "pairs"), ["model", "class", "part"])
     others = F.slice(F.filter("pairs", lambda x: x["id"] != F.col("id")), 1, k)
-    return found.select("model", "id", F.transform(others, lambda x: F.struct(x["id"].alias("id"), (1 - x["lost"]).alias("similarity"))).alias("near"))
+    return spread.select("model", "id", F.transform(others, lambda x: F.struct(x["id"].alias("id"), (1 - x["lost"]).alias("similarity"))).alias("near"))
 
 
 def similar_pairs(vectors: DataFrame, least: float = 0.9, **parameters) -> DataFrame:

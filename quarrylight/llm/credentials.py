@@ -56,6 +56,12 @@ HARMLESS = r"^\$(?:2[abxy]|argon2\w*|[156]|scrypt|pbkdf2\S*)\$|^\{(?:SSHA|SHA|MD
 # What may follow each sign that the automaton finds; all of these are matched in place, none searches the text.
 TOKEN = re.compile(r"(?<![A-Za-z0-9_])(?:" + "|".join(TOKEN_SHAPES) + r")(?![A-Za-z0-9])")
 PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:[^-]|-(?!----)){0,300}")
+PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+#: What stands between two pieces of a key's body: line breaks, also escaped ones, quotes, joining and comment signs.
+_PEM_GAP = re.compile(r"""(?:\\+[nrt]|&#1[03];|[\s"'`,;.(){}\[\]|#*<>\\-]|[+/](?![A-Za-z0-9+/]))*""")
+_PEM_NOTE = re.compile(r"(?:Proc-Type|DEK-Info|Version|Comment|Charset|Hash|MessageID): [^\n\\\"'`]*")
+_PEM_PIECE = re.compile(r"[A-Za-z0-9+/]+={0,2}(?![\w.(:\[])")
+_PEM_SIGNS = re.compile(r"""\\+[nrt]|\\+u000[aAdD]|&#1[03];|[A-Za-z0-9+/=]+""")
 URL = re.compile(r"://([^\s:/@\"'<>`]{0,80}):([^\s@/\"'`]{2,200})@")
 _GLUE = r"""["'`\])]*[ \t]*(?:(?::[ \t]*&?'?(?:\w+[ \t]+)?\w+[ \t]*)?(?:=>|:=|===?|!==?|=|:)|,|[ \t]+BY|[ \t]+value[ \t]*=)?[ \t]*"""
 QUOTED = re.compile(r"(?i)" + _GLUE + r"""(?P<q>["'`])(?P<v>(?:\\.|(?!(?P=q))[^\\\n]){4,400})(?P=q)""")
@@ -198,6 +204,34 @@ def literals(text: str) -> Iterator[tuple[int, str, str]]:
             yield from _PLACES[order](text, places[order], take)
 
 
+def key_block_stop(text: str, at: int) -> int:
+    """Where the key block that begins at ``at`` stops: behind its END line, or behind the last piece of its body where END is missing."""
+    head = text.index("-----", at + 10) + 5
+    following = text.find("-----BEGIN", head)
+    if m := PEM_END.search(text, head, following if following >= 0 else len(text)):
+        return m.end()
+    stop, place = head, _PEM_GAP.match(text, head).end()
+    while m := _PEM_NOTE.match(text, place) or _PEM_PIECE.match(text, place):
+        # A body may end in a short piece; a plain word or name there is the text behind it.
+        if m.re is _PEM_PIECE and len(m[0]) < 40 and (re.fullmatch(r"[A-Z]?[a-z]+|[A-Z]+", m[0]) or (len(m[0]) < 16 and "\n" not in text[m.end() : m.end() + 2] and text[m.end() : m.end() + 1] not in ("", "\\", '"', "'", "`", "<"))):
+            break
+        stop, place = m.end(), _PEM_GAP.match(text, m.end()).end()
+    return stop
+
+
+def _blank_key_block(block: str, commented: bool) -> str:
+    """``block`` with all its letters, digits and base64 signs blanked; escaped line breaks and signs that join or comment stay."""
+
+    def blank(m: re.Match) -> str:
+        run = m[0]
+        if run[0] in "\\&" or not any(map(str.isalnum, run)) and len(run) < 3:
+            return run
+        kept = 2 if commented and run.startswith("//") and not block[block.rfind("\n", 0, m.start()) + 1 : m.start()].strip() else 0
+        return run[:kept] + "x" * (len(run) - kept)
+
+    return _PEM_SIGNS.sub(blank, block)
+
+
 def _pem(text, places, take):
     for a, _ in places:
         if (m := PEM.match(text, a)) and re.search(r"[A-Za-z0-9+/]{40}", m.group()[(head := m.group().index("-----", 10) + 5) :]):
@@ -332,8 +366,10 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             starts = _line_starts(text)
             for last, v in automaton.iter(text):
                 a, b = last - len(v) + 1, last + 1
-                # A key block is known by its beginning; any other literal must stand by itself.
-                if v.startswith("-----BEGIN") or (not (a and edge.match(text[a - 1]) and edge.match(v[0])) and not (edge.match(text[b : b + 1]) and edge.match(v[-1]))):
+                # A key block is known by its beginning and found through its end; any other literal must stand by itself.
+                if v.startswith("-----BEGIN"):
+                    rows.append((file_id, bisect.bisect_right(starts, a), a, max(b, key_block_stop(text, a))))
+                elif (not (a and edge.match(text[a - 1]) and edge.match(v[0])) and not (edge.match(text[b : b + 1]) and edge.match(v[-1]))):
                     rows.append((file_id, bisect.bisect_right(starts, a), a, b))
         yield pd.DataFrame(rows, columns=["file_id", "line_no", "start", "stop"])
 
@@ -363,7 +399,11 @@ def _redact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if s[1] <= at:
                     continue
                 a = max(s[0], at)
-                parts += [text[at:a], re.sub(r"[^\s\"'`\\+.<>@-]", "x", text[a : s[1]]) if "BEGIN" in text[a : s[1]] else re.sub(r"[A-Za-z0-9]", "x", text[a : s[1]])]
+                if text.startswith("-----BEGIN", s[0]):
+                    blanked = _blank_key_block(text[a : s[1]], text[text.rfind("\n", 0, s[0]) + 1 : s[0]].strip().startswith("//"))
+                else:
+                    blanked = re.sub(r"[A-Za-z0-9]", "x", text[a : s[1]])
+                parts += [text[at:a], blanked]
                 at = s[1]
             out.append("".join([*parts, text[at:]]))
         yield pd.DataFrame({"file_id": batch["file_id"], "redacted": out})

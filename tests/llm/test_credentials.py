@@ -98,3 +98,20 @@ def test_every_literal_of_a_file_is_found_again(spark):
 )
 def test_more_places(line):
     assert [k for _, _, k in C.literals(line)]
+
+
+def test_no_character_of_a_key_body_survives_redaction(spark):
+    rng = random.Random(5)
+    body = ["".join(rng.choices(string.ascii_letters + string.digits + "+/", k=64)) for _ in range(20)] + ["q9+/Zk3="]
+    block = "\n".join(["-----BEGIN RSA PRIVATE KEY-----", *body, "-----END RSA PRIVATE KEY-----"])
+    cut_off = block[: block.index("-----END")]
+    around = [
+        ('KEY = """\n', block, '\n"""\nlimit = 3\n'), ('KEY = "', block.replace("\n", "\\n"), '"\nlimit = 3\n'), ("KEY = (\n    '", block.replace("\n", "\\n'\n    '"), "'\n)\nlimit = 3\n"), ('KEY = ("', block.replace("\n", '\\n" + "'), '")\nlimit = 3\n'),
+        ('KEY = """\n', cut_off, '"""\nlimit = 3\n'), ("# ", cut_off.rstrip().replace("\n", "\n# "), "\nlimit = 3\nreturned = limit\n"), ('KEY = "', cut_off.replace("\n", "\\n"), '"\nlimit = 3\n'),
+    ]
+    texts = [a + b + c for a, b, c in around]
+    for r in C.redact(files(spark, texts)).collect():
+        before, _, after = around[r.file_id - 1]
+        assert len(r.redacted) == len(texts[r.file_id - 1]) and r.redacted.startswith(before) and r.redacted.endswith(after)
+        assert not set(r.redacted[len(before) : -len(after)]) - set("x-\\n\n '\"+#") and not any(piece in r.redacted for piece in body)
+        ast.parse(r.redacted)

@@ -23,11 +23,11 @@ def p1_redacted(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
-    return handwritten.not_handwritten(table(spark, base, "files"), table(spark, base, "upstream_files")).select("file_id")
+    return handwritten.not_handwritten(table(spark, base, "files"), table(spark, base, "upstream_files"), full=True).select("file_id")
 
 
 def p2_reasons(spark: SparkSession, base: str) -> DataFrame:
-    return handwritten.not_handwritten(table(spark, base, "files"), table(spark, base, "upstream_files"))
+    return handwritten.not_handwritten(table(spark, base, "files"), table(spark, base, "upstream_files"), full=True)
 
 
 def p3_found(spark: SparkSession, base: str) -> DataFrame:

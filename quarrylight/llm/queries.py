@@ -47,7 +47,7 @@ def p4_pairs(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p4_functions(spark: SparkSession, base: str) -> DataFrame:
-    return docpairs.extract_functions(table(spark, base, "files"))
+    return docpairs.extract_functions(table(spark, base, "files"), whole=True)
 
 
 def p5_found(spark: SparkSession, base: str) -> DataFrame:

@@ -62,27 +62,27 @@ _PEM_GAP = re.compile(r"""(?:\\+[nrt]|&#1[03];|[\s"'`,;.(){}\[\]|#*<>\\-]|[+/](?
 _PEM_NOTE = re.compile(r"(?:Proc-Type|DEK-Info|Version|Comment|Charset|Hash|MessageID): [^\n\\\"'`]*")
 _PEM_PIECE = re.compile(r"[A-Za-z0-9+/]+={0,2}(?![\w.(:\[])")
 _PEM_SIGNS = re.compile(r"""\\+[nrt]|\\+u000[aAdD]|&#1[03];|[A-Za-z0-9+/=]+""")
-URL = re.compile(r"://([^\s:/@\"'<>`]{0,80}):([^\s@/\"'`]{2,200})@")
+URL = re.compile(r"://([^\s:/@\"'<>`]{0,80}):([^\s@/\"'`]{2,})@")
 _GLUE = r"""["'`\])]*[ \t]*(?:(?::[ \t]*&?'?(?:\w+[ \t]+)?\w+[ \t]*)?(?:=>|:=|===?|!==?|=|:)|,|[ \t]+BY|[ \t]+value[ \t]*=)?[ \t]*"""
-QUOTED = re.compile(r"(?i)" + _GLUE + r"""(?P<q>["'`])(?P<v>(?:\\.|(?!(?P=q))[^\\\n]){4,400})(?P=q)""")
-BARE = re.compile(r"""["']?[ \t]*(?:=|:[ \t])[ \t]*(?P<v>[^\s"'`<>]{5,400})""")
-ELEMENT = re.compile(r">(?P<v>[^<\n]{5,400})</")
+QUOTED = re.compile(r"(?i)" + _GLUE + r"""(?P<q>["'`])(?P<v>(?:\\.|(?!(?P=q))[^\\\n]){4,})(?P=q)""")
+BARE = re.compile(r"""["']?[ \t]*(?:=|:[ \t])[ \t]*(?P<v>[^\s"'`<>]{5,})""")
+ELEMENT = re.compile(r">(?P<v>[^<\n]{5,})</")
 #: A setting whose name and value stand on two lines, as in lists of environment variables.
-NAMED = re.compile(r"""(?i)["']?,?[ \t]*\r?\n[ \t\-]*["']?value["']?\s*[:=][ \t]*["']?(?P<v>[^\s"']{5,400})""")
+NAMED = re.compile(r"""(?i)["']?,?[ \t]*\r?\n[ \t\-]*["']?value["']?\s*[:=][ \t]*["']?(?P<v>[^\s"']{5,})""")
 NAMED_BEFORE = re.compile(r"""(?i)\bname["']?\s*[:=]\s*["']?[\w.\-]*$""")
 BEARER = re.compile(r"(?i)(?:bearer|basic|(?<=[\"'`])token)\s+(?P<v>[A-Za-z0-9_\-.=+/~]{10,})")
-CALL = re.compile(r"""(?i)(?:login|open|connect|auth\w*|bind|configure|setup|init\w*|credentials?)\((?:[^()\n]{0,160},)?\s*(["'])[\w@.\-]+\1\s*,\s*(["'])(?P<v>(?:\\.|(?!\2)[^\\\n]){6,200})\2""")
-PROSE = re.compile(r"(?i)(?:log-?in\s+[\w.@\-]+\s+(?:password|passwd)\s+|(?:log-?in|creds?|credentials|account)\b:?\s+[\w.@\-]+\s*[:/]\s*|with\s+(?:the\s+)?(?:password|passphrase|token|key)\s*:?\s+[`\"']?|-u\s+['\"]?[\w.@\-]+:|(?:password|passphrase)\s+is\s+[`\"']?)(?P<v>[^\s`\"']{5,200})")
+CALL = re.compile(r"""(?i)(?:login|open|connect|auth\w*|bind|configure|setup|init\w*|credentials?)\((?:[^()\n]{0,160},)?\s*(["'])[\w@.\-]+\1\s*,\s*(["'])(?P<v>(?:\\.|(?!\2)[^\\\n]){6,})\2""")
+PROSE = re.compile(r"(?i)(?:log-?in\s+[\w.@\-]+\s+(?:password|passwd)\s+|(?:log-?in|creds?|credentials|account)\b:?\s+[\w.@\-]+\s*[:/]\s*|with\s+(?:the\s+)?(?:password|passphrase|token|key)\s*:?\s+[`\"']?|-u\s+['\"]?[\w.@\-]+:|(?:password|passphrase)\s+is\s+[`\"']?)(?P<v>[^\s`\"']{5,})")
 #: A call with host, port, user and password, whatever its name.
-DIAL = re.compile(r"""\((["'])[\w.\-]+\1\s*,\s*\d+\s*,\s*(["'])[\w@.\-]+\2\s*,\s*(["'])(?P<v>(?:\\.|(?!\3)[^\\\n]){5,200})\3""")
+DIAL = re.compile(r"""\((["'])[\w.\-]+\1\s*,\s*\d+\s*,\s*(["'])[\w@.\-]+\2\s*,\s*(["'])(?P<v>(?:\\.|(?!\3)[^\\\n]){5,})\3""")
 #: A database client's password option behind its user option.
-OPTION = re.compile(r"""-p(?P<q>["']?)(?P<v>[^\s"'`$]{5,100})(?P=q)""")
+OPTION = re.compile(r"""-p(?P<q>["']?)(?P<v>[^\s"'`$]{5,})(?P=q)""")
 #: Values put into a database, with the columns before them.
 INSERT = re.compile(r"(?i)values\s*\((?P<values>(?:[^()'\n]|'(?:''|[^'\n])*')*)\)")
 INSERT_COLUMNS = re.compile(r"\(([\w\s,`\"]+)\)\s*$")
 #: A row of a table with a host and a user before the password.
-ROW = re.compile(r"""\|\s*[\w\-]+(?:\.[\w\-]+)+\s*\|\s*[\w@.\-]+\s*\|\s*`?(?P<v>[^\s|`]{5,200})`?\s*\|""")
-SPLIT = re.compile(r"""(["'])[\w.\-]+\1(?:\s*(?:\+|\.\.|\.|<>|\|\||&|,)?\s*(["'])[\w.\-=+/]{2,200}\2){1,4}""")
+ROW = re.compile(r"""\|\s*[\w\-]+(?:\.[\w\-]+)+\s*\|\s*[\w@.\-]+\s*\|\s*`?(?P<v>[^\s|`]{5,})`?\s*\|""")
+SPLIT = re.compile(r"""(["'])[\w.\-]+\1(?:\s*(?:\+|\.\.|\.|<>|\|\||&|,)?\s*(["'])[\w.\-=+/]{2,}\2){1,4}""")
 _PARTS = re.compile(r"""(["'])([\w.\-=+/]+)\1""")
 _ENCODED_OPENINGS = sorted({base64.b64encode(x.encode()[: len(x) // 3 * 3]).decode() for x in TOKEN_OPENINGS} | {x.encode().hex() for x in TOKEN_OPENINGS if len(x) > 3})
 ENCODED = re.compile(r"(?<![A-Za-z0-9+/=])(?:" + "|".join(_ENCODED_OPENINGS) + r")[A-Za-z0-9+/]{20,}={0,2}(?![A-Za-z0-9+/])")

@@ -115,3 +115,12 @@ def test_no_character_of_a_key_body_survives_redaction(spark):
         assert len(r.redacted) == len(texts[r.file_id - 1]) and r.redacted.startswith(before) and r.redacted.endswith(after)
         assert not set(r.redacted[len(before) : -len(after)]) - set("x-\\n\n '\"+#") and not any(piece in r.redacted for piece in body)
         ast.parse(r.redacted)
+
+
+@pytest.mark.parametrize("place", ['PRIVATE_KEY = "{}"', "PRIVATE_KEY={}", "private_key: {}", 'private_key: "{}"', "<secret>{}</secret>", "- name: SIGNING_KEY\n  value: {}"])
+def test_long_values_are_found_whole(spark, place):
+    value = "".join(random.Random(8).choices(string.ascii_letters + string.digits + "+/", k=1604)) + "=="
+    text = "first = 1\n" + place.format(value) + "\nlast = 2\n"
+    assert value in [raw for _, raw, _ in C.literals(text)]
+    redacted = C.redact(files(spark, [text])).collect()[0].redacted
+    assert len(redacted) == len(text) and value[300:340] not in redacted and value[-40:] not in redacted

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,16 +87,18 @@ SPLIT = re.compile(r"""(["'])[\w.\-]+\1(?:\s*(?:\+|\.\.|\.|<>|\|\||&|,)?\s*(["']
 _PARTS = re.compile(r"""(["'])([\w.\-=+/]+)\1""")
 _ENCODED_OPENINGS = sorted({base64.b64encode(x.encode()[: len(x) // 3 * 3]).decode() for x in TOKEN_OPENINGS} | {x.encode().hex() for x in TOKEN_OPENINGS if len(x) > 3})
 ENCODED = re.compile(r"(?<![A-Za-z0-9+/=])(?:" + "|".join(_ENCODED_OPENINGS) + r")[A-Za-z0-9+/]{20,}={0,2}(?![A-Za-z0-9+/])")
-#: What may be the bare repeat of a confirmed literal: a run that isn't a plain word.
-RUN = re.compile(r"(?<![\w+/=~^*.!?@#$%&\-])[A-Za-z0-9_+/=~^*.!?@#$%&\-]{8,120}(?![\w+/=~^*.!?@#$%&\-])")
+# What the bare repeat of a literal is known by: its runs of letters and digits stand whole wherever it stands by itself.
+_SEPARATOR = r"[^A-Za-z0-9\s\"'`(){}\[\];,<>|]"
+_ALNUM = re.compile(r"[A-Za-z0-9]+")
+_PAIR = re.compile(rf"(?<![A-Za-z0-9])(?=([A-Za-z0-9]+{_SEPARATOR}+[A-Za-z0-9]+))")
+_SIGNED = re.compile(rf"(?<![A-Za-z0-9])(?=([A-Za-z0-9]+{_SEPARATOR}))|(?=({_SEPARATOR}[A-Za-z0-9]+))")
 _COMPARED = re.compile(r"""["'`\])]*[ \t]*[=!]==?[ \t]*["'`]""")
 _KEY_NAME = re.compile(r"(?i)(?:^|_)(?:" + "|".join(KEY_WORDS) + r")$")
-_ODD = re.compile(r"[\d+=~^*!?@#$%&\-]")
 _STAND_IN, _HARMLESS = re.compile(STAND_INS), re.compile(HARMLESS)
 _GENERIC = re.compile(r"(?i)^(?:password|passwd|pass|secret|token|user|pwd|test|none|true|false|x+|\.+|-+|[\d.,:_\-/ ]+)$")
 _WORDS = re.compile(r"^[A-Za-z]{3,}(?:[-+_ ][A-Za-z]{3,}){2,}$")
 
-EXTRACTED = "value string, file_id long, owner long, line_no long, kind string"
+EXTRACTED = "value string, file_id long, owner long, line_no long, kind string, anchor long"
 
 
 def stands_in(value: str) -> bool:
@@ -317,10 +320,29 @@ def _insert(text, places, take):
 _PLACES = {"insert": _insert, "dial": _matched(DIAL, "pair", False), "option": _option, "row": _matched(ROW, "pair", False), "pem": _pem, "token": _token, "encoded": _encoded, "url": _url, "key": _key, "bearer": _matched(BEARER, "keyed", True), "call": _matched(CALL, "pair", False), "prose": _matched(PROSE, "pair", True)}
 
 
-def runs(text: str) -> set[str]:
-    """The distinct runs of ``text`` that could be bare repeats of a credential."""
-    words = {w for w in text.split() if len(w) >= 8 and not w.isalpha() and _ODD.search(w)}
-    return {r for r in RUN.findall(" ".join(words)) if _ODD.search(r)} if words else set()
+def _telling(run: str) -> bool:
+    """True for a run of letters and digits that is no plain word, name or number."""
+    return len(run) > 1 and not run.isdigit() and (not run.isalpha() or len(run) >= 8 and bool(re.search("[a-z][A-Z]", run)) and bool(re.search("[A-Z]{2}|[b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ]{4}", run)))
+
+
+def anchors(text: str) -> set[str]:
+    """What of ``text`` a literal that stands there by itself can be routed by: telling runs, joined runs, and runs with a sign."""
+    return {r for r in set(_ALNUM.findall(text)) if _telling(r)} | set(_PAIR.findall(text)) | {x or y for x, y in _SIGNED.findall(text)}
+
+
+def anchor_of(literal: str) -> str | None:
+    """The one of its ``anchors`` that every text has in which ``literal`` stands by itself; None for one without any."""
+    # The index value of a key block ends anywhere within its body.
+    whole = literal.rstrip("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") if literal.startswith("-----BEGIN") else literal
+    runs = _ALNUM.findall(whole)
+    for found in ([r for r in runs if _telling(r)], _PAIR.findall(whole), [x or y for x, y in _SIGNED.findall(whole)]):
+        if found:
+            return max(found, key=lambda x: (len(x), x))
+    return None
+
+
+def _hashed(anchor: str) -> int:
+    return xxhash.xxh3_64_intdigest(anchor) - (1 << 63)
 
 
 def _line_starts(text: str) -> list[int]:
@@ -333,10 +355,15 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for file_id, owner, text in zip(batch["file_id"], batch["owner"], batch["text"], strict=True):
             starts = _line_starts(text)
             for at, raw, kind in literals(text):
-                rows.append((raw, file_id, owner, bisect.bisect_right(starts, at), kind))
-            for raw in runs(text):
-                rows.append((raw, file_id, owner, None, "run"))
-        yield pd.DataFrame(rows, columns=["value", "file_id", "owner", "line_no", "kind"]).astype({"line_no": "Int64"})
+                anchor = anchor_of(raw)
+                rows.append((raw, file_id, owner, bisect.bisect_right(starts, at), kind, anchor and _hashed(anchor)))
+        yield pd.DataFrame(rows, columns=["value", "file_id", "owner", "line_no", "kind", "anchor"]).astype({"line_no": "Int64", "anchor": "Int64"})
+
+
+def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = [(file_id, _hashed(x)) for file_id, text in zip(batch["file_id"], batch["text"], strict=True) for x in anchors(text)]
+        yield pd.DataFrame(rows, columns=["file_id", "anchor"])
 
 
 def _texts(files: DataFrame) -> DataFrame:
@@ -348,7 +375,7 @@ def confirmed_literals(index: DataFrame, owners: DataFrame, widely_shared: float
 
     A value that more than ``widely_shared`` of all owners have (and more than ``least_owners``) is a stand-in.
     """
-    by_owner = index.where("kind <> 'run'").groupBy("value", "owner").agg(F.count("*").alias("n"))
+    by_owner = index.groupBy("value", "owner").agg(F.count("*").alias("n"))
     by_value = by_owner.groupBy("value").agg(F.count("*").alias("owners"))
     most = max(least_owners, widely_shared * owners.select("owner").distinct().count())
     return by_value.where(F.col("owners") <= most).select("value")
@@ -383,7 +410,9 @@ def find_credentials(files: DataFrame) -> DataFrame:
     texts = _texts(files)
     index = cut(texts.mapInPandas(_extract, EXTRACTED))
     confirmed = confirmed_literals(index, files.select(F.coalesce("source_id", F.lit(-1)).alias("owner")))
-    routed = index.select("value", "file_id").distinct().join(confirmed, "value").groupBy("file_id").agg(F.collect_set("value").alias("values"))
+    known = index.select("value", "file_id", "anchor").join(confirmed, "value")
+    repeats = texts.select("file_id", "text").mapInPandas(_places, "file_id long, anchor long").join(known.select("value", "anchor").distinct(), "anchor").select("file_id", "value")
+    routed = known.select("file_id", "value").unionByName(repeats).groupBy("file_id").agg(F.collect_set("value").alias("values"))
     return texts.dropDuplicates(["file_id"]).drop("owner").join(routed, "file_id").mapInPandas(_scan, "file_id long, line_no long, start int, stop int").distinct()
 
 

@@ -124,3 +124,11 @@ def test_long_values_are_found_whole(spark, place):
     assert value in [raw for _, raw, _ in C.literals(text)]
     redacted = C.redact(files(spark, [text])).collect()[0].redacted
     assert len(redacted) == len(text) and value[300:340] not in redacted and value[-40:] not in redacted
+
+
+def test_bare_repeats_are_routed_out_of_any_surroundings(spark):
+    secrets = ["Tr0ub4dor-x9", "b72Sb5dEsBT0A", "kq7w9z", "monkey-pepper-glacier", "?monkeys!", "KqzXwvBnm" * 16]
+    keys = [f'PASSWORD = "{s}"' for s in secrets]
+    around = ["was {}.", "see //h.test/p?k={}&v=1", "note={}/x", "({})", "a.{}_b", "[{}]"]
+    texts = [*keys, *(a.format(s) for s in secrets for a in around), *(f"no x{s}x here" for s in secrets if s[0].isalnum())]
+    assert found(spark, texts) == {(i, 1) for i in range(1, 1 + len(keys) + len(secrets) * len(around))}

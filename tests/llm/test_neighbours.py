@@ -58,6 +58,41 @@ def test_pairs_and_recall(spark):
     assert measured.queries == 90 and measured.recall >= 0.9
 
 
+def windows(rows, width, orderings=8, k=10):
+    """What the windows of all orderings hold, read off the whole orderings."""
+    ids = np.array([i for i, _, _ in rows])
+    units = np.stack([np.float64(np.float32(v)) for _, _, v in rows])
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    seen = {i: set() for i in ids.tolist()}
+    for o in range(orderings):
+        order = np.lexsort((ids, N.curve_keys(units, o, 6, 8)))
+        for at, i in enumerate(ids[order].tolist()):
+            seen[i] |= set(ids[order][max(0, at - width) : at + width + 1].tolist()) - {i}
+    place = {i: n for n, i in enumerate(ids.tolist())}
+    return {("m", i): [j for _, j in sorted((round((1 - units[place[i]] @ units[place[j]]) * 1e9), j) for j in js)[:k]] for i, js in seen.items()}
+
+
+def test_neighbours_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, "m", rng.standard_normal(64)) for i in range(1500)]
+    expected = windows(rows, 20)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for rows_per_task, shuffles in ((100_000, 3), (700, 17), (250, 5)):
+            spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+            got = {(r.model, r.id): [n.id for n in r.near] for r in N.most_similar(table(spark, rows), width=20, rows_per_task=rows_per_task).collect()}
+            assert got == expected
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_recall_names_every_model(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, "m" if i < 200 else "n", rng.standard_normal(64)) for i in range(1, 230) if i < 200 or i % 100]
+    measured = {r.model: (r.queries, r.recall) for r in N.recall(table(spark, rows)).collect()}
+    assert measured == {"m": (1, 1.0), "n": (0, None)}
+
+
 def test_empty_and_single(spark):
     empty = table(spark, [])
     assert N.most_similar(empty).count() == 0 and N.recall(empty).count() == 0

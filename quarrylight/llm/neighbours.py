@@ -147,11 +147,11 @@ def _best(rows: np.ndarray, ids: np.ndarray, lost: np.ndarray, k: int) -> tuple[
 def _chosen(sims: np.ndarray, k: int, group: int = 32) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of all entries that may be among the ``k`` largest of their row, given single precision; -2 is none."""
     whole = sims.shape[1] // group * group
-    peaks = sims[:, :whole].reshape(len(sims), -1, group).max(axis=2) if whole else np.empty((len(sims), 0), sims.dtype)
+    peaks = sims[:, :whole].reshape(len(sims), group, -1).max(axis=1) if whole else np.empty((len(sims), 0), sims.dtype)
     peaks = np.concatenate([peaks, sims[:, whole:]], axis=1)
     # As many groups as k have a peak of at least this much, so the k largest entries have it too.
     least = np.partition(peaks, peaks.shape[1] - k, axis=1)[:, peaks.shape[1] - k] if peaks.shape[1] > k else np.full(len(sims), -1.5, sims.dtype)
-    return np.nonzero(sims >= np.maximum(least - np.float32(1e-5), np.float32(-1.5))[:, None])
+    return np.divmod(np.flatnonzero(sims >= np.maximum(least - np.float32(1e-5), np.float32(-1.5))[:, None]), sims.shape[1])
 
 
 def _nearest_in(left: np.ndarray, right: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -2,7 +2,8 @@
 
 Only the histogram (at most one entry a length up to the capacity) comes to the driver. Lengths are placed longest
 first, each into the pack with the most room, counting how often every packing pattern occurs. Patterns are then joined
-back to the documents by the rank of a document within its length.
+back to the documents by the rank of a document within its length. Ranks are worked out in parts whose number grows with
+the pieces of a length; pieces that fill a sequence take no part.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from quarrylight.core.storage import cut
 from quarrylight.llm.tokens import TOKENIZER, token_sizes
 
 CAPACITY = 2048
-PARTS = 64
 SLOTS = "length long, from_rank long, to_rank long, first_sequence long, per_sequence long, place long"
 
 
@@ -83,33 +83,34 @@ def _slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int,
     return out
 
 
-def pack_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
+def pack_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, rows_per_part: int = 50_000) -> DataFrame:
     """``sequence_id, place, doc_id, piece, from_token, to_token, tokens``: every document in a sequence of at most ``capacity`` tokens.
 
     A document longer than the capacity is split into pieces of full capacity and a rest; no other is. Tokens are those
     from ``from_token`` (from 0) up to, not including, ``to_token``. Documents without tokens (null or empty texts)
-    come out in sequence 0 with place -1. Null ids give no row; an id given twice comes out once; an empty table gives none.
+    come out in sequence 0 with place -1; sequences of one whole piece have negative numbers, all others count from 0.
+    Null ids give no row; an id given twice comes out once (with its longest text); an empty table gives none.
     """
     spark = documents.sparkSession
-    sizes = cut(token_sizes(documents.dropDuplicates(["doc_id"]), tokenizer=tokenizer))
+    sizes = cut(token_sizes(documents, tokenizer=tokenizer).groupBy("doc_id").agg(F.max("tokens").alias("tokens")))
     pieces = sizes.where("tokens > 0").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"cast(ceil(tokens / {capacity}.0) as bigint) - 1")))).select(
         "doc_id", "piece", (F.col("piece") * capacity).alias("from_token"), F.least("tokens", (F.col("piece") + 1) * capacity).alias("to_token")
     )
-    pieces = pieces.withColumn("length", F.col("to_token") - F.col("from_token")).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)))
-    counts = [(r["length"], r["part"], r["n"]) for r in pieces.groupBy("length", "part").agg(F.count("*").alias("n")).collect()]  # at most capacity x PARTS rows
-    histogram: dict[int, int] = defaultdict(int)
-    starts = []
-    for length, part, n in sorted(counts):
-        starts.append((length, part, histogram[length]))
-        histogram[length] += n
-    slots = spark.createDataFrame(_slots(pack_histogram(dict(histogram), capacity)), SLOTS)
-    offsets = spark.createDataFrame(starts, "length long, part long, before long")
+    pieces = pieces.withColumn("length", F.col("to_token") - F.col("from_token"))
+    # A full piece is a sequence of its own and needs no rank: the number of full pieces before its document, and its place there.
+    full, partial = pieces.where(F.col("length") == capacity), pieces.where(F.col("length") < capacity)
+    histogram = {r["length"]: r["n"] for r in partial.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most one row a length below the capacity
     # A length that many pieces have is ranked in parts, so no task gets a whole one.
-    local = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece")) - 1)
-    # Both tables have at most capacity x PARTS entries and patterns x lengths entries, whatever the corpus.
-    ranked = local.join(F.broadcast(offsets), ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
-    s = F.broadcast(slots.withColumnRenamed("length", "s_length"))
-    placed = ranked.join(s, (F.col("length") == F.col("s_length")) & (F.col("rank") >= F.col("from_rank")) & (F.col("rank") <= F.col("to_rank")))
+    parts = spark.createDataFrame([(k, -(-n // rows_per_part)) for k, n in histogram.items()], "length long, parts long")
+    salted = partial.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = salted.groupBy("length", "part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    local = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id")) - 1)
+    ranked = local.join(offsets, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
+    # Ranks and slots meet by length and block of ranks, so a length with many pieces or slots is spread as well.
+    block = lambda c: F.expr(f"{c} div {rows_per_part}")
+    slots = spark.createDataFrame(_slots(pack_histogram(histogram, capacity)), SLOTS).withColumn("block", F.explode(F.sequence(block("from_rank"), block("to_rank"))))
+    placed = ranked.withColumn("block", block("rank")).join(slots, ["length", "block"]).where("rank between from_rank and to_rank")
     within = F.col("rank") - F.col("from_rank")
     packed = placed.select(
         (F.col("first_sequence") + F.expr("(rank - from_rank) div per_sequence")).alias("sequence_id"),
@@ -117,5 +118,18 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: st
         "doc_id", "piece", "from_token", "to_token", F.col("length").alias("tokens"),
     )
     zero = F.lit(0).cast("long")
+    counts = sizes.where(F.col("tokens") >= capacity).select("doc_id", F.expr(f"tokens div {capacity}").alias("n")).withColumn("row", F.xxhash64("doc_id"))
+    starts = _before(counts, rows_per_part)
+    alone = full.join(starts, "doc_id").select((-1 - F.col("start") - F.col("piece")).alias("sequence_id"), zero.alias("place"), "doc_id", "piece", "from_token", "to_token", F.col("length").alias("tokens"))
     empty = sizes.where("tokens = 0").select(zero.alias("sequence_id"), F.lit(-1).cast("long").alias("place"), "doc_id", zero.alias("piece"), zero.alias("from_token"), zero.alias("to_token"), zero.alias("tokens"))
-    return packed.unionByName(empty)
+    return packed.unionByName(alone).unionByName(empty)
+
+
+def _before(counts: DataFrame, rows_per_part: int) -> DataFrame:
+    """``doc_id, start``: the sum of ``n`` over all documents before this one, in some fixed order, worked out in parts."""
+    parts = max(1, -(-counts.count() // rows_per_part))
+    marked = counts.withColumn("part", F.pmod("row", F.lit(parts)))
+    # One row a part; the documents of one part meet in a task.
+    totals = marked.groupBy("part").agg(F.sum("n").alias("total")).withColumn("first", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("total")
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return marked.withColumn("inside", inside).join(totals, "part").select("doc_id", (F.col("first") + F.col("inside")).alias("start"))

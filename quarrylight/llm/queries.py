@@ -71,6 +71,11 @@ def p7_shares(spark: SparkSession, base: str) -> DataFrame:
     return mixing.reached_shares(mixing.mix_documents(table(spark, base, "documents"), targets), targets)
 
 
+def p7_shares_whole(spark: SparkSession, base: str) -> DataFrame:
+    targets = table(spark, base, "mix_targets")
+    return mixing.reached_shares(mixing.mix_documents(table(spark, base, "documents"), targets, whole=True), targets)
+
+
 def p8_found(spark: SparkSession, base: str) -> DataFrame:
     return mojibake.repair_documents(table(spark, base, "documents")).where("garbled").select("doc_id").distinct()
 
@@ -80,7 +85,7 @@ def p8_restored(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = (p1_found, p1_redacted, p2_found, p2_reasons, p3_found, p3_recall, p4_found, p4_pairs, p4_functions, p5_found, p5_pieces, p6_packed, p7_mixed, p7_shares, p8_found, p8_restored)
+    named = (p1_found, p1_redacted, p2_found, p2_reasons, p3_found, p3_recall, p4_found, p4_pairs, p4_functions, p5_found, p5_pieces, p6_packed, p7_mixed, p7_shares, p7_shares_whole, p8_found, p8_restored)
     return {f.__name__: f for f in named}
 
 

@@ -57,6 +57,14 @@ def test_documents_are_packed_once(spark):
     places = [(r.sequence_id, r.place) for r in out if r.place >= 0]
     assert len(places) == len(set(places))
     assert packing.pack_documents(documents(spark, []), capacity=512).count() == 0
+    # Ranks in many small parts give as full sequences as ranks in one.
+    small = packing.pack_documents(documents(spark, rows), capacity=512, rows_per_part=3).collect()
+    assert sorted((r.doc_id, r.from_token, r.to_token) for r in small) == sorted((r.doc_id, r.from_token, r.to_token) for r in out)
+    fill = Counter()
+    for r in small:
+        fill[r.sequence_id] += r.tokens
+    assert max(fill.values()) <= 512 and len(fill) == len(per)
+    assert len({(r.sequence_id, r.place) for r in small if r.place >= 0}) == sum(r.place >= 0 for r in small)
 
 
 def test_shares_are_met_within_the_repeat_limits(spark):
@@ -73,6 +81,28 @@ def test_shares_are_met_within_the_repeat_limits(spark):
     assert {(r.doc_id, r.copies) for r in mixed.collect()} == {(r.doc_id, r.copies) for r in again.collect()}
 
 
+def test_odds_differ_by_size_and_are_kept_over_many_draws(spark):
+    rows = [(i, "word " * (4 if i % 2 else 64), "a") for i in range(200)]
+    targets = spark.createDataFrame([("a", 1.0, 3, "r")], TARGETS)
+    sizes = {0: [], 1: []}
+    for seed in range(12):
+        mixed = mixing.mix_documents(documents(spark, rows), targets, total_tokens=8000, seed=seed, size_power=0.5).collect()
+        assert abs(sum(r.tokens * r.copies for r in mixed) - 8000) <= 33 and max(r.copies for r in mixed) <= 3
+        for odd in sizes:
+            sizes[odd].append(sum(r.copies for r in mixed if r.doc_id % 2 == odd) / 100)
+        expected = {r.doc_id % 2: r.expected for r in mixed}
+    assert expected[0] > 2 * expected[1]
+    for odd, seen in sizes.items():
+        assert abs(sum(seen) / len(seen) - expected[odd]) < 0.08
+
+
+def test_scale_keeps_the_repeat_limit():
+    sums = [(1.0, 100.0), (2.0, 100.0), (8.0, 100.0)]
+    c = mixing._scale(450.0, 2, sums)
+    assert abs(sum(min(2, c * w) * t for w, t in sums) - 450) < 1e-6
+    assert mixing._scale(600.0, 2, sums) >= 2 / 1.0 - 1e-9
+
+
 def test_a_given_size_and_sources_too_small(spark):
     rows = [(i, "word " * 20, "a") for i in range(100)] + [(200 + i, "word " * 20, "b") for i in range(2)]
     targets = spark.createDataFrame([("a", 0.5, 1, "r"), ("b", 0.5, 3, "r")], TARGETS)

@@ -6,9 +6,10 @@ from collections import Counter
 import pytest
 
 from quarrylight.llm import mixing, packing
-from quarrylight.llm.tokens import TOKENIZER
+from quarrylight.llm.tokens import TOKENIZER, token_sizes
 
 tokenizers = pytest.importorskip("tokenizers")
+JSON = TOKENIZER.replace(".tiktoken", ".json")
 DOCS = "doc_id long, text string, source string, tokens string, length string"
 TARGETS = "source string, target_share double, max_repeats int, records string"
 
@@ -37,7 +38,7 @@ def test_documents_are_packed_once(spark):
     rows = [(i, "word " * rng.randrange(1, 400), "s") for i in range(300)] + [(1000, "long " * 6000, "s"), (1001, None, "s"), (1002, "", None), (None, "x", "s"), (1003, "same same", "s"), (1003, "same same", "s")]
     out = packing.pack_documents(documents(spark, rows), capacity=512).collect()
     size = {}
-    t = tokenizers.Tokenizer.from_file(TOKENIZER)
+    t = tokenizers.Tokenizer.from_file(JSON)
     for i, text, _ in rows:
         if i is not None:
             size[i] = len(t.encode(text or "", add_special_tokens=False).ids)
@@ -67,6 +68,12 @@ def test_documents_are_packed_once(spark):
     assert len({(r.sequence_id, r.place) for r in small if r.place >= 0}) == sum(r.place >= 0 for r in small)
 
 
+def test_both_kinds_of_tokenizer_files_count_alike(spark):
+    rows = [(1, "def f(x):\n    return x  # ünïcode 中文 🙂", "s"), (2, "<|endoftext|> " * 3, "s"), (3, None, "s"), (4, "", "s"), (5, " " * 5000 + "a" * 5000 + "\r\n\t", "s")]
+    sizes = [{r.doc_id: r.tokens for r in token_sizes(documents(spark, rows), tokenizer=x).collect()} for x in (TOKENIZER, JSON)]
+    assert sizes[0] == sizes[1] and sizes[0][3] == sizes[0][4] == 0
+
+
 def test_shares_are_met_within_the_repeat_limits(spark):
     rng = random.Random(2)
     rows = [(i, "word " * rng.randrange(5, 60), rng.choice("aaaaaabbc")) for i in range(900)] + [(5000, None, "a"), (5001, "x", None), (5002, "", "b"), (3, rows_text := "word", "c")]

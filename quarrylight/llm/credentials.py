@@ -97,6 +97,13 @@ _KEY_NAME = re.compile(r"(?i)(?:^|_)(?:" + "|".join(KEY_WORDS) + r")$")
 _STAND_IN, _HARMLESS = re.compile(STAND_INS), re.compile(HARMLESS)
 _GENERIC = re.compile(r"(?i)^(?:password|passwd|pass|secret|token|user|pwd|test|none|true|false|x+|\.+|-+|[\d.,:_\-/ ]+)$")
 _WORDS = re.compile(r"^[A-Za-z]{3,}(?:[-+_ ][A-Za-z]{3,}){2,}$")
+#: A passphrase: words with single blanks between them, without the words that make a sentence of a message.
+_PHRASE = re.compile(r"^[^\W_]{2,}(?: [^\W_]{2,}){2,9}$")
+# Words of messages and stand-ins about credentials.
+_MESSAGE = re.compile(
+    r"(?i)\b(?:the|your|you|our|and|for|not|with|from|this|that|must|was|are|has|been|can|please|enter|set|use|see|value|here|password|passwort|passphrase|secret|credentials?|token|key|"
+    r"required|invalid|missing|wrong|incorrect|expired|failed|error|field|login|user|username|new|old|current|forgot|reset|confirm|repeat|choose|own|mot|passe|que|por|para|pour|votre|der|die|das|und|nicht)\b"
+)
 
 EXTRACTED = "value string, file_id long, owner long, line_no long, kind string, anchor long"
 
@@ -115,7 +122,7 @@ def looks_secret(value: str, key: str = "pass") -> bool:
     odd = sum(not c.isalnum() and c not in "_-., :/" for c in value)
     token_like = low.endswith(("token", "auth", "bearer"))
     if " " in value.strip():
-        return False
+        return not token_like and len(value) >= 15 and bool(_PHRASE.match(value)) and not _MESSAGE.search(value) and (value == value.lower() or value == value.upper() or digits > 0)
     if _WORDS.match(value):
         return not token_like and "_" not in value
     if re.search(r"[(){}\[\];,<>|]", value):
@@ -431,7 +438,7 @@ def _redact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if text.startswith("-----BEGIN", s[0]):
                     blanked = _blank_key_block(text[a : s[1]], text[text.rfind("\n", 0, s[0]) + 1 : s[0]].strip().startswith("//"))
                 else:
-                    blanked = re.sub(r"[A-Za-z0-9]", "x", text[a : s[1]])
+                    blanked = re.sub(r"[^\W_]", "x", text[a : s[1]])
                 parts += [text[at:a], blanked]
                 at = s[1]
             out.append("".join([*parts, text[at:]]))

@@ -132,3 +132,13 @@ def test_bare_repeats_are_routed_out_of_any_surroundings(spark):
     around = ["was {}.", "see //h.test/p?k={}&v=1", "note={}/x", "({})", "a.{}_b", "[{}]"]
     texts = [*keys, *(a.format(s) for s in secrets for a in around), *(f"no x{s}x here" for s in secrets if s[0].isalnum())]
     assert found(spark, texts) == {(i, 1) for i in range(1, 1 + len(keys) + len(secrets) * len(around))}
+
+
+@pytest.mark.parametrize(("line", "secret"), [('db_password: "correct horse battery"', True), ("PASSPHRASE='seven amber lanterns 42 drift'", True), ('password: "enter the password here"', False), ('passwordError = "password must have eight letters"', False), ('token = "many plain words here"', False)])
+def test_passphrases_with_blanks(line, secret):
+    assert bool(list(C.literals(line))) == secret
+
+
+def test_letters_of_any_script_are_blanked(spark):
+    out = C.redact(files(spark, ['PASSWORD = "Пароль№7-größe"\nx = 1'])).collect()
+    assert [r.redacted for r in out] == ['PASSWORD = "xxxxxx№x-xxxxx"\nx = 1']

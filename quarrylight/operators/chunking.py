@@ -2,35 +2,15 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylight.core import syntax
 from quarrylight.functions import text as tx
-
-# How symbols are declared, by language: pattern with the name as its last group, kind.
-DECLARATIONS = {
-    "rust": [(r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+(\w+)", "function"), (r"^\s*(?:pub\s+)?struct\s+(\w+)", "struct"), (r"^\s*(?:pub\s+)?enum\s+(\w+)", "enum"), (r"^\s*(?:pub\s+)?trait\s+(\w+)", "trait"), (r"^\s*impl(?:<[^>]*>)?\s+(\w+)", "impl")],
-    "python": [(r"^\s*(?:async\s+)?def\s+(\w+)", "function"), (r"^\s*class\s+(\w+)", "class")],
-    "javascript": [(r"^\s*(?:export\s+)?(?:async\s+)?function\s+(\w+)", "function"), (r"^\s*(?:export\s+)?class\s+(\w+)", "class")],
-    "typescript": [(r"^\s*(?:export\s+)?(?:async\s+)?function\s+(\w+)", "function"), (r"^\s*(?:export\s+)?class\s+(\w+)", "class"), (r"^\s*(?:export\s+)?interface\s+(\w+)", "interface")],
-    "go": [(r"^func\s+(?:\([^)]*\)\s*)?(\w+)", "function"), (r"^type\s+(\w+)\s+struct", "struct"), (r"^type\s+(\w+)\s+interface", "interface")],
-    "java": [(r"^\s*(?:public|private|protected|static|final|\s)+\s*class\s+(\w+)", "class"), (r"^\s*(?:public|private|protected|static|final)[\w<>\[\], ]*\s(\w+)\s*\([^;]*\)\s*\{?$", "method")],
-    "csharp": [(r"^\s*(?:public|private|protected|internal|static|\s)*class\s+(\w+)", "class"), (r"^\s*(?:public|private|protected|internal|static)[\w<>\[\], ]*\s(\w+)\s*\([^;]*\)\s*\{?$", "method")],
-    "c": [(r"^(?:static\s+)?(?:int|void|char|long|double)\s+\*?(\w+)\s*\([^;]*\)\s*\{?$", "function")],
-    "cpp": [(r"^(?:static\s+)?(?:int|void|bool|auto|std::string)\s+(?:\w+::)?(\w+)\s*\([^;]*\)\s*(?:const)?\s*\{?$", "function"), (r"^\s*class\s+(\w+)", "class")],
-    "ruby": [(r"^\s*def\s+(?:self\.)?(\w+)", "method"), (r"^\s*class\s+(\w+)", "class")],
-    "php": [(r"^\s*(?:public |private |protected |static )*function\s+(\w+)", "function"), (r"^\s*class\s+(\w+)", "class")],
-    "lua": [(r"^\s*(?:local\s+)?function\s+(?:\w+[.:])?(\w+)", "function")],
-}
-#: Rules that tell the kind of a call from the text of its callee, and whether the bare name is kept.
-_BARE = {"java", "ruby"}
-_CALL = re.compile(r"(?P<new>\bnew\s+)?(?P<callee>[A-Za-z_$][\w$]*(?:(?:\.|::|->|:)[A-Za-z_]\w*)*)\s*\(")
-_NOT_CALLS = {"if", "for", "while", "switch", "return", "def", "fn", "func", "function", "class", "catch", "and", "or", "not", "in", "elif", "sizeof", "match", "require", "import", "define", "print"}
-
+from quarrylight.sources import adapters
 
 def windows_of_characters(texts: DataFrame, size: int = 1000, overlap: int = 100) -> DataFrame:
     """``id, ordinal, piece, start_line``: overlapping windows; the last one reaches the end."""
@@ -89,90 +69,75 @@ def packed_turns(turns: DataFrame, most: int = 4000, least: int = 500) -> DataFr
     return turns.groupBy("doc_id").applyInPandas(run, "doc_id long, piece long, first_turn long, messages long, roles string, text string")
 
 
-def _declared(language: str, lines: list[str]) -> list[tuple[int, int, str, str, str]]:
-    """(first line, last line, kind, name, signature), from 1; a unit ends where its indentation does."""
-    rules = [(re.compile(p), k) for p, k in DECLARATIONS.get(language, [])]
-    out = []
-    for n, line in enumerate(lines):
-        for pattern, kind in rules:
-            if m := pattern.match(line):
-                indent = len(line) - len(line.lstrip())
-                end = n
-                for j in range(n + 1, len(lines)):
-                    own = lines[j]
-                    if own.strip() and len(own) - len(own.lstrip()) <= indent and not re.match(r"\s*(?:[})\]]|end\b|\{)", own):
-                        break
-                    if own.strip():
-                        end = j
-                        if re.match(r"\s*(?:\}|end\b)", own) and len(own) - len(own.lstrip()) == indent:
-                            break
-                out.append((n + 1, end + 1, kind, m.group(m.lastindex), line.strip()))
-                break
-    return out
-
-
 def _over_files(files: DataFrame, per_file, columns: list[str], schema: str) -> DataFrame:
+    """Rows of ``per_file(language, text)`` of every file; the path tells a language that isn't given."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(i, *x) for i, la, t in zip(b["id"], b["language"], b["text"], strict=True) for x in per_file(la, t)]
             yield pd.DataFrame(rows, columns=["file_id", *columns])
 
-    texts = files.where("content_text is not null and language is not null").select("id", "language", F.regexp_replace("content_text", "\r\n", "\n").alias("text"))
+    language = F.coalesce("language", adapters.language_of(F.col("path"))) if "path" in files.columns else F.col("language")
+    texts = files.where("content_text is not null").select("id", language.alias("language"), F.regexp_replace("content_text", "\r\n", "\n").alias("text")).where("language is not null and language <> 'unknown'")
     return texts.mapInPandas(run, f"file_id long, {schema}")
 
 
 def declared_symbols(files: DataFrame) -> DataFrame:
-    """``file_id, line_start, line_end, type, name, qualified_name, signature``: declarations, with the unit around them."""
+    """``file_id, line_start, line_end, type, name, qualified_name, signature, visibility``: the declarations of every file.
+
+    A name is qualified by the class, struct, trait or module around it; the signature is the first line. Files in
+    languages without rules, and null texts, give no row; a broken file gives what is whole in it.
+    """
 
-    def per_file(language: str, value: str):
-        found = _declared(language, value.split("\n"))
-        for a, b, kind, name, signature in found:
-            around = [x for x in found if x[0] < a and x[1] >= b and x[2] in ("class", "struct", "impl", "trait", "interface")]
-            yield a, b, kind, name, "::".join([x[3] for x in around] + [name]), signature
+    def per_file(language: str, text: str):
+        units, _ = syntax.parse(text, language)
+        starts = syntax.line_numbers(text)
+        for u, qualified in syntax.symbols(units):
+            first = syntax.line_of(starts, u.start)
+            line = text[starts[first - 1] : starts[first] if first < len(starts) else len(text)].strip()
+            yield first, syntax.line_of(starts, u.stop - 1), u.kind, u.name, qualified or u.name, line, u.visibility
 
-    return _over_files(files, per_file, ["line_start", "line_end", "type", "name", "qualified_name", "signature"], "line_start long, line_end long, type string, name string, qualified_name string, signature string")
+    columns = ["line_start", "line_end", "type", "name", "qualified_name", "signature", "visibility"]
+    return _over_files(files, per_file, columns, "line_start long, line_end long, type string, name string, qualified_name string, signature string, visibility string")
 
 
 def calls(files: DataFrame) -> DataFrame:
-    """``file_id, caller, callee, call_type, call_line``: calls within functions; ``<global>`` outside of any."""
-
-    def per_file(language: str, value: str):
-        lines = value.split("\n")
-        functions = [x for x in _declared(language, lines) if x[2] in ("function", "method")]
-        heads = {x[0] for x in functions}
-        for n, line in enumerate(lines, 1):
-            if n in heads or re.match(r"\s*(?://|#|\*|/\*|--)", line):
-                continue
-            for m in _CALL.finditer(line):
-                callee = m["callee"]
-                if callee in _NOT_CALLS or callee.split(".")[-1] in _NOT_CALLS:
-                    continue
-                inside = [x for x in functions if x[0] <= n <= x[1]]
-                kind = "constructor" if m["new"] else "method" if "->" in callee or ("." in callee) or (":" in callee and "::" not in callee) else "static" if "::" in callee else "direct"
-                yield (max(inside)[3] if inside else "<global>"), (re.split(r"\.|::|->|:", callee)[-1] if language in _BARE else callee), kind, n
+    """``file_id, caller, callee, call_type, call_line``: every call with the function around it, ``<global>`` outside of any.
+
+    The callee is the text before the bracket, in java, ruby and php the bare name; the type is direct, method, static
+    or constructor; the line is where the call's text begins.
+    """
+
+    def per_file(language: str, text: str):
+        starts = syntax.line_numbers(text)
+        for c in syntax.parse(text, language)[1]:
+            yield c.caller or "<global>", c.callee, c.kind, syntax.line_of(starts, c.at)
 
     return _over_files(files, per_file, ["caller", "callee", "call_type", "call_line"], "caller string, callee string, call_type string, call_line long")
 
 
 def syntax_units(files: DataFrame, least_gap: int = 20) -> DataFrame:
-    """``file_id, ordinal, chunk_type, level, start_line, end_line``: outermost units, units within them, and what stands between."""
-
-    def per_file(language: str, value: str):
-        lines = value.split("\n")
-        found = _declared(language, lines)
-        units = [(a, b, "function" if k in ("function", "method") else "class", 2 if any(x[0] < a and x[1] >= b for x in found) else 1) for a, b, k, _, _ in found]
-        gaps, at = [], 1
-        for a, b, _, level in sorted(units):
-            if level == 1:
-                if a > at and len("\n".join(lines[at - 1 : a - 1]).strip()) > least_gap:
-                    gaps.append((at, a - 1, "code", 0))
-                at = max(at, b + 1)
-        if at <= len(lines) and len("\n".join(lines[at - 1 :]).strip()) > least_gap:
-            gaps.append((at, len(lines), "code", 0))
-        for n, (a, b, kind, level) in enumerate(sorted(units + gaps)):
-            yield n, kind, level, a, b
-
-    return _over_files(files, per_file, ["ordinal", "chunk_type", "level", "start_line", "end_line"], "ordinal long, chunk_type string, level int, start_line long, end_line long")
+    """``file_id, ordinal, chunk_type, name, level, parent, start_line, end_line, text``: units of the syntax, and what stands between.
+
+    ``parent`` is the ordinal of the piece around a unit, of later parts of one unit that of its first; null for none.
+    Units with too many tokens are cut; files without units are cut by tokens alone. Blank files give no row.
+    """
+
+    def per_file(language: str, text: str):
+        starts = syntax.line_numbers(text)
+        for n, (kind, name, level, parent, a, b) in enumerate(syntax.chunks(text, language, least_gap)):
+            yield n, kind, name, level, None if parent < 0 else parent, syntax.line_of(starts, a), syntax.line_of(starts, max(a, b - 1)), text[a:b]
+
+    columns = ["ordinal", "chunk_type", "name", "level", "parent", "start_line", "end_line", "text"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(i, *x) for i, la, t in zip(b["id"], b["language"], b["text"], strict=True) for x in per_file(la, t)]
+            yield pd.DataFrame(rows, columns=["file_id", *columns]).astype({"parent": "Int64"})
+
+    language = F.coalesce("language", adapters.language_of(F.col("path"))) if "path" in files.columns else F.coalesce("language", F.lit("unknown"))
+    texts = files.where("content_text is not null").select("id", language.alias("language"), F.regexp_replace("content_text", "\r\n", "\n").alias("text"))
+    return texts.mapInPandas(run, "file_id long, ordinal long, chunk_type string, name string, level int, parent long, start_line long, end_line long, text string")
 
 
 def visibility(signature: Column, name: Column, language: Column) -> Column:

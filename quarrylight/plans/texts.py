@@ -175,7 +175,7 @@ def _(t):
 
 @P.add("chunk_semantic")
 def _(t):
-    return chunking.syntax_units(t.files)
+    return chunking.syntax_units(t.files).select("file_id", "ordinal", "chunk_type", "name", "level", F.coalesce("parent", F.lit(-1)).alias("parent"), "start_line", "end_line", F.sha2("text", 256).alias("sha256"))
 
 
 @P.add("parse_symbols")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,8 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the session names it.
 
-    Only where the session names none (a single machine, as in tests) a temporary folder is set.
+    Only where the session names none and runs on a single machine, as in tests, a temporary folder is set; on a cluster
+    that is an error, as no other machine could read it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
@@ -23,12 +25,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
         current = context._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="quarrylight-")
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(named)
     return named
 
 
+def remove(spark: SparkSession, place: str) -> None:
+    """Deletes the folder ``place``, wherever it is kept."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, so that lost executors cost no recomputation."""
     checkpoint_dir(df.sparkSession)

@@ -50,12 +50,15 @@ def _(t):
     return evaluate.hit_rate(_judged(t))
 
 
-@P.add("ev_required_forbidden", f"WITH {searching.TERMS_SQL} SELECT a.query_id, a.query_id AS id, 'missing' AS fault FROM (SELECT DISTINCT query_id FROM asked) a WHERE NOT EXISTS (SELECT 1 FROM lex WHERE lex.query_id = a.query_id AND lex.id = a.query_id AND rank <= 10)")
+@P.add("ev_required_forbidden", f"""WITH {searching.TERMS_SQL} SELECT a.query_id, a.query_id AS id, 'missing' AS fault FROM (SELECT DISTINCT query_id FROM asked) a WHERE NOT EXISTS (SELECT 1 FROM lex WHERE lex.query_id = a.query_id AND lex.id = a.query_id AND rank <= 10)
+    UNION ALL SELECT DISTINCT a.query_id, c.id, 'forbidden' FROM asked a JOIN chunks q ON q.id = a.query_id JOIN chunks c ON c.file_id = q.file_id AND c.id <> q.id JOIN lex ON lex.query_id = a.query_id AND lex.id = c.id AND rank <= 10""")
 def _(t):
-    """Every chunk asked for by its own words must be among its ten best."""
+    """Every chunk asked for by its own words must be among its ten best, and no other chunk of its file."""
     hits = searching._lexical(t, 10).select("query_id", "id")
     asked = searching._asked(t).where(F.size("terms") > 0).select("query_id", F.col("query_id").alias("id"))
-    return evaluate.required_forbidden(hits, asked, asked.where("false"))
+    other = t.chunks.select("id", "file_id")
+    forbidden = asked.select("query_id").join(other.select(F.col("id").alias("query_id"), "file_id"), "query_id").join(other, "file_id").where("id <> query_id").select("query_id", "id")
+    return evaluate.required_forbidden(hits, asked, forbidden)
 
 
 @P.add("ev_manifest_compare")

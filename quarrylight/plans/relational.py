@@ -210,11 +210,11 @@ def _(t):
     return a.join(b, F.col("language").eqNullSafe(F.col("other"))).select("language", "files", "symbols")
 
 
-@P.add("join_row_compare", "SELECT a.id FROM files a JOIN files b ON a.source_id = b.source_id AND a.path = b.path AND a.id < b.id WHERE (a.language, a.size_original) IS DISTINCT FROM (b.language, b.size_original)")
+@P.add("join_row_compare", "SELECT a.id, b.id AS later FROM files a JOIN files b ON a.source_id = b.source_id AND a.path = b.path AND a.id < b.id WHERE (a.language, a.size_original, a.created_at) IS DISTINCT FROM (b.language, b.size_original, b.created_at)")
 def _(t):
-    b = t.files.select("source_id", "path", F.col("id").alias("b_id"), F.struct("language", "size_original").alias("b_row"))
-    a = t.files.select("source_id", "path", "id", F.struct("language", "size_original").alias("row"))
-    return a.join(b, ["source_id", "path"]).where("id < b_id").where(~F.col("row").eqNullSafe(F.col("b_row"))).select("id")
+    b = t.files.select("source_id", "path", F.col("id").alias("b_id"), F.struct("language", "size_original", "created_at").alias("b_row"))
+    a = t.files.select("source_id", "path", "id", F.struct("language", "size_original", "created_at").alias("row"))
+    return a.join(b, ["source_id", "path"]).where("id < b_id").where(~F.col("row").eqNullSafe(F.col("b_row"))).select("id", F.col("b_id").alias("later"))
 
 
 @P.add("join_range_interval", "SELECT e.event_id, w.w FROM events e JOIN (VALUES (1, TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-08'), (2, TIMESTAMP '2024-01-08', TIMESTAMP '2024-01-20')) AS w(w, a, b) ON e.ts >= w.a AND e.ts < w.b")

@@ -18,6 +18,14 @@ def _outbox(t):
 
 
 @P.add("st_debounce_batch", """
+    WITH g AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM g),
+    f AS (SELECT *, date_diff('microsecond', min(ts) OVER (PARTITION BY user_id, n), ts) // 10800000000 AS flush FROM s) SELECT user_id, min(ts) AS start, max(ts) AS stop, count(*) AS n FROM f GROUP BY user_id, n, flush""")
+def _(t):
+    return flows.debounced(t.events, "user_id", "2 hours", "3 hours")
+
+
+@P.add("st_debounce_idle", """
     WITH g AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
     s AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, n""")
 def _(t):

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quarrylight.core.storage import checkpoint_dir
+from quarrylight.core.storage import checkpoint_dir, cut, remove
 
 
 def change_stream(spark: SparkSession, base: str, table: str = "events") -> DataFrame:
@@ -31,13 +31,49 @@ def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     place = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{place}/out")
+    found = cut(spark.read.parquet(f"{place}/out"))
+    remove(spark, place)
+    return found
 
 
-def debounced(events: DataFrame, key: str, gap: str = "5 minutes") -> DataFrame:
-    """``key, start, stop, n``: events of a key that follow each other within ``gap`` as one batch."""
-    grouped = events.groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count("*").alias("n"))
-    return grouped.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n")
+def debounced(events: DataFrame, key: str, gap: str = "5 minutes", most: str | None = None) -> DataFrame:
+    """``key, start, stop, n``: events of a key that follow each other within ``gap`` as one batch.
+
+    With ``most`` a batch isn't held back longer: while a key stays busy, one is flushed every ``most`` from its first
+    event on. ``stop`` is then the batch's last event, else the end of the gap behind it.
+    """
+    if most is None:
+        grouped = events.groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count("*").alias("n"))
+        return grouped.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n")
+    order = Window.partitionBy(key).orderBy("ts", "event_id")
+    fresh = F.coalesce(F.col("ts") >= F.lag("ts").over(order) + F.expr(f"interval {gap}"), F.lit(True))
+    busy = events.select(key, "event_id", "ts", fresh.cast("int").alias("_fresh")).withColumn("_busy", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    since = F.timestamp_diff("MICROSECOND", F.min("ts").over(Window.partitionBy(key, "_busy")), F.col("ts"))
+    width = F.timestamp_diff("MICROSECOND", F.lit("2000-01-01").cast("timestamp_ntz"), F.lit("2000-01-01").cast("timestamp_ntz") + F.expr(f"interval {most}"))
+    flushed = busy.withColumn("_flush", F.floor(since / width))
+    return flushed.groupBy(key, "_busy", "_flush").agg(F.min("ts").alias("start"), F.max("ts").alias("stop"), F.count("*").alias("n")).select(key, "start", "stop", "n")
+
+
+def _in_order(rows: DataFrame, key: str, start, step, out: str, columns: list[str]) -> DataFrame:
+    """Every row of a key in the order of its events, through ``step(state, row) -> (state, values)``; ``columns``: what is given out before the values.
+
+    A key's rows come in order to one task, which keeps nothing but the state of the key that it is at.
+    """
+    names = [x.split()[0] for x in out.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = object(), None
+        for b in batches:
+            found = []
+            for row in b.itertuples(index=False):
+                now = getattr(row, key)
+                if now != at:
+                    at, state = now, start
+                state, values = step(state, row)
+                found.append((*(getattr(row, c) for c in columns), *values))
+            yield pd.DataFrame(found, columns=names)
+
+    return rows.repartition(key).sortWithinPartitions(key, "ts", "event_id").mapInPandas(run, out)
 
 
 def windowed_counts(events: DataFrame, width: str = "1 day", late: str | None = None) -> DataFrame:
@@ -52,31 +88,25 @@ def rate_limited(events: DataFrame, key: str = "user_id", seconds: int = 3600) -
     An event of type error fails: it passes, but doesn't start the wait.
     """
 
+    def step(last, row):
+        at = int(pd.Timestamp(row.ts).value // 1000)
+        passed = last is None or at - last >= seconds * 1_000_000
+        return (at if passed and row.event_type != "error" else last), (passed,)
+
     def fold(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
         out = []
         for row in sorted((r for b in batches for r in b.itertuples(index=False)), key=lambda r: (r.ts, r.event_id)):
-            at = int(pd.Timestamp(row.ts).value // 1000)
-            passed = last is None or at - last >= seconds * 1_000_000
-            if passed and row.event_type != "error":
-                last = at
+            last, (passed,) = step(last, row)
             out.append((k[0], row.event_id, passed))
         if last is not None:
             state.update((last,))
         yield pd.DataFrame(out, columns=[key, "event_id", "kept"])
 
+    schema = f"{key} long, event_id long, kept boolean"
     if events.isStreaming:
-        return events.groupBy(key).applyInPandasWithState(fold, f"{key} long, event_id long, kept boolean", "last long", "append", GroupStateTimeout.NoTimeout)
-
-    class Fresh:
-        exists = False
-
-        def update(self, value) -> None: ...
-
-    def batch(k, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat(fold(k, iter([rows]), Fresh()))
-
-    return events.groupBy(key).applyInPandas(batch, f"{key} long, event_id long, kept boolean")
+        return events.groupBy(key).applyInPandasWithState(fold, schema, "last long", "append", GroupStateTimeout.NoTimeout)
+    return _in_order(events.where(F.col(key).isNotNull()).select(key, "event_id", "ts", "event_type"), key, None, step, schema, [key, "event_id"])
 
 
 def signature_changes(events: DataFrame, key: str = "user_id", signature: str = "event_type") -> DataFrame:
@@ -100,20 +130,17 @@ def circuit(outcomes: DataFrame, threshold: int = 5, wait_seconds: int = 30) ->
     closes with a success; a later failure doesn't stamp a new opening time.
     """
 
-    def fold(k, rows: pd.DataFrame) -> pd.DataFrame:
-        fails, opened, out = 0, None, []
-        for r in rows.sort_values(["ts", "event_id"]).itertuples(index=False):
-            if r.ok:
-                fails, opened = 0, None
-            else:
-                fails += 1
-                if fails == threshold:
-                    opened = r.ts
-            state = "closed" if opened is None else "open" if (r.ts - opened).total_seconds() < wait_seconds else "half_open"
-            out.append((k[0], r.event_id, state))
-        return pd.DataFrame(out, columns=["key", "event_id", "state"])
-
-    return outcomes.groupBy("key").applyInPandas(fold, "key long, event_id long, state string")
+    def step(state, row):
+        fails, opened = state
+        if row.ok:
+            fails, opened = 0, None
+        else:
+            fails += 1
+            opened = row.ts if fails == threshold else opened
+        said = "closed" if opened is None else "open" if (row.ts - opened).total_seconds() < wait_seconds else "half_open"
+        return (fails, opened), (said,)
+
+    return _in_order(outcomes.where("key is not null"), "key", (0, None), step, "key long, event_id long, state string", ["key", "event_id"])
 
 
 def claimed(outbox: DataFrame, most: int) -> DataFrame:

@@ -112,6 +112,30 @@ def relations(classes: DataFrame) -> DataFrame:
     return rows.groupBy("name", "target", "relation").agg(F.max("confidence").alias("confidence"))
 
 
+# Where names are taken from, by languages: pattern with the name as its group, and whether only plain names of assignments count.
+IDENTIFIERS = [
+    (["rust"], [(r"\bfn\s+(\w+)\s*[<(]", False), (r"\bstruct\s+(\w+)", False), (r"\benum\s+(\w+)", False), (r"\btrait\s+(\w+)", False), (r"\bimpl(?:\s*<[^>]*>)?\s+(\w+)", False), (r"\btype\s+(\w+)", False), (r"\bconst\s+(\w+)", False)]),
+    (["python"], [(r"\bdef\s+(\w+)\s*\(", False), (r"\bclass\s+(\w+)", False), (r"(?m)^(\w+)\s*=\s*[^=]", True)]),
+    (["typescript", "javascript"], [(r"\bfunction\s+(\w+)\s*[<(]", False), (r"\b(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?\(", False), (r"\bclass\s+(\w+)", False), (r"\binterface\s+(\w+)", False), (r"\btype\s+(\w+)", False)]),
+    (["go"], [(r"\bfunc\s+(?:\([^)]*\)\s*)?(\w+)\s*[<(]", False), (r"\btype\s+(\w+)", False), (r"(?m)^\s+([A-Z]\w+)\s+\w", False)]),
+]
+
+
+def identifiers(texts: DataFrame) -> DataFrame:
+    """``id, name``: the declared names of source texts (id, language, text), by the rules of their language."""
+    name = F.col("name")
+    plain = (~name.startswith("_") & (F.upper(name) == name) & (F.lower(name) != name)) | name.rlike(r"^\p{Ll}")
+    found = F.lit(None).cast("array<struct<name:string,assigned:boolean>>")
+
+    def named(assigned: bool):
+        return lambda x: F.struct(x.alias("name"), F.lit(assigned).alias("assigned"))
+
+    for languages, rules in IDENTIFIERS:
+        names = F.concat(*[F.transform(F.regexp_extract_all("text", F.lit(p.replace("(?m)", "(?dm)")), 1), named(a)) for p, a in rules])
+        found = F.when(F.col("language").isin(languages), names).otherwise(found)
+    return texts.select("id", F.explode(found).alias("f")).select("id", "f.*").where(~F.col("assigned") | plain).select("id", "name").distinct()
+
+
 def word_frequency(identifiers: DataFrame, comments: DataFrame) -> DataFrame:
     """``word, weight``: words of distinct identifiers (``name``) three times, of comments (``text``) twice."""
     a = identifiers.select("name").distinct().select(F.explode(tx.identifier_words(F.col("name"))).alias("word")).groupBy("word").agg((F.count("*") * 3).alias("n"))

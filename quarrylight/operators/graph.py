@@ -43,21 +43,33 @@ def neighbourhood(symbols: DataFrame, calls: DataFrame) -> DataFrame:
 def chain(start: str, symbols: DataFrame, calls: DataFrame, direction: str = "callees", depth: int = 5, per_level: int = 20, most: int = 100) -> DataFrame:
     """``depth, name, symbol_id``: breadth-first over names, at most ``per_level`` new names a level, ``most`` in all.
 
-    Each level is one join; what was seen is kept in the shared folder, so that lost executors don't cost the walk.
+    A level asks the tables only for the calls of its names (at most ``per_level``, so they come to the driver); nothing
+    is moved for names that the walk doesn't meet.
     """
-    links = edges(symbols, calls)
-    pairs = links.select(F.col("caller").alias("here"), F.col("callee").alias("there"), F.col("callee_id").alias("id")) if direction == "callees" else links.select(F.col("callee").alias("here"), F.col("caller").alias("there"), F.col("caller_id").alias("id"))
-    pairs = cut(pairs.where(F.col("there").isNotNull() & ~F.col("there").isin(NOISE)).groupBy("here", "there").agg(F.min("id").alias("id")))
-    spark = symbols.sparkSession
-    seen = spark.createDataFrame([(0, start, None)], "depth int, name string, symbol_id long")
+    found: dict[str, tuple[int, int | None]] = {start: (0, None)}
+    frontier = [start]
     for level in range(1, max(1, min(10, depth)) + 1):
-        frontier = seen.where(F.col("depth") == level - 1).select(F.col("name").alias("here"))
-        new = pairs.join(frontier, "here").groupBy(F.col("there").alias("name")).agg(F.min("id").alias("symbol_id")).join(seen.select("name"), "name", "left_anti")
-        seen = cut(seen.unionByName(new.select(F.lit(level).alias("depth"), "name", "symbol_id").orderBy("name").limit(per_level)))
-        found = seen.count() - 1
-        if found >= most or not seen.where(F.col("depth") == level).limit(1).count():
+        near = _called(frontier, symbols, calls) if direction == "callees" else _calling(frontier, symbols, calls)
+        new = near.where(F.col("name").isNotNull() & ~F.col("name").isin(NOISE) & ~F.col("name").isin(list(found))).groupBy("name").agg(F.min("id").alias("id")).orderBy("name").limit(per_level)
+        fresh = {r["name"]: (level, r["id"]) for r in new.collect()}
+        found |= fresh
+        frontier = list(fresh)
+        if not frontier or len(found) > most:
             break
-    return seen.where("depth > 0").orderBy("depth", "name").limit(most)
+    rows = sorted((d, n, i) for n, (d, i) in found.items() if d)[:most]
+    return symbols.sparkSession.createDataFrame(rows, "depth int, name string, symbol_id long")
+
+
+def _called(names: list[str], symbols: DataFrame, calls: DataFrame) -> DataFrame:
+    """``name, id``: what the symbols of these names call."""
+    who = symbols.where(F.col("name").isin(names)).select(F.col("id").alias("caller_symbol_id")).distinct()
+    return calls.join(who, "caller_symbol_id", "left_semi").select(F.col("callee_name").alias("name"), F.col("callee_symbol_id").alias("id"))
+
+
+def _calling(names: list[str], symbols: DataFrame, calls: DataFrame) -> DataFrame:
+    """``name, id``: the symbols that call these names."""
+    who = calls.where(F.col("callee_name").isin(names)).select(F.col("caller_symbol_id").alias("id")).distinct()
+    return symbols.join(who, "id", "left_semi").select("name", "id")
 
 
 def resolved_chain(start: str, symbols: DataFrame, calls: DataFrame, depth: int = 4, fan_out: int = 10) -> DataFrame:

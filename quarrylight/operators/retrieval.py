@@ -15,55 +15,50 @@ from quarrylight.functions import text as tx
 BLOCK = 2000
 
 
+def _packed(rows: DataFrame, key: str, block: int) -> DataFrame:
+    """``model, size, ids, vectors``: blocks of at most ``block`` vectors of one model and length, one after another; null and all-zero ones are left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b = b[[v is not None and len(v) > 0 for v in b["vector"]]]
+            b = b.assign(model=b["model"].fillna(""), size=[len(v) for v in b["vector"]])
+            for (model, size), part in b.groupby(["model", "size"]):
+                v = np.stack(part["vector"].to_numpy()).astype(np.float64)
+                length = np.linalg.norm(v, axis=1)
+                ids, v = part["id"].to_numpy()[length > 0], v[length > 0] / length[length > 0, None]
+                starts = range(0, len(ids), block)
+                yield pd.DataFrame({"model": model, "size": size, "ids": [ids[a : a + block] for a in starts], "vectors": [v[a : a + block].tobytes() for a in starts]})
+
+    return rows.select(F.col(key).cast("long").alias("id"), "model", "vector").mapInPandas(run, "model string, size int, ids array<long>, vectors binary")
+
+
 def nearest(queries: DataFrame, base: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """``query_id, id, similarity, rank``: the exact ``k`` most similar rows of every query, within its model.
 
-    Both tables have ``id`` (``query_id`` for queries), ``model`` and ``vector``; a row isn't its own neighbour. Queries
-    are sent in blocks of ``block`` to all rows, each task keeps its own best, and these are ranked.
+    Both tables have ``id`` (``query_id`` for queries), ``model`` and ``vector``; a row isn't its own neighbour. The
+    stated queries meet all rows block by block on the executors; each pair of blocks gives its best, and these are ranked.
     """
 
-    def best(wanted: dict[str, tuple[np.ndarray, np.ndarray]]):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for model, rows in b.groupby("model"):
-                    if model not in wanted:
-                        continue
-                    ids, m = wanted[model]
-                    size = m.shape[1]
-                    rows = rows[[v is not None and len(v) == size for v in rows["vector"]]]
-                    if not len(rows):
-                        continue
-                    v = np.stack(rows["vector"].to_numpy()).astype(np.float64)
-                    length = np.linalg.norm(v, axis=1)
-                    rows, v, length = rows[length > 0], v[length > 0], length[length > 0]
-                    others = rows["id"].to_numpy()
-                    sims = np.round(m @ (v / length[:, None]).T, 9)
-                    sims[ids[:, None] == others[None, :]] = -2
-                    order = np.lexsort((np.broadcast_to(others, sims.shape), -sims), axis=1)[:, :k]
-                    yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "id": others[order].ravel(), "similarity": np.take_along_axis(sims, order, 1).ravel()}).query("similarity > -2")
-
-        return run
-
-    found: DataFrame | None = None
-    held: list[tuple] = []
-
-    def ask(rows: list[tuple]) -> DataFrame:
-        wanted = {}
-        for model in {r[1] for r in rows}:
-            own = [(r[0], np.array(r[2], dtype=np.float64)) for r in rows if r[1] == model]
-            size = max(len(v) for _, v in own)
-            own = [(i, v / np.linalg.norm(v)) for i, v in own if len(v) == size and np.linalg.norm(v) > 0]
-            if own:
-                wanted[model] = (np.array([i for i, _ in own]), np.stack([v for _, v in own]))
-        return base.select("id", "model", "vector").mapInPandas(best(wanted), "query_id long, id long, similarity double")
-
-    for row in queries.where("vector is not null").select("query_id", "model", "vector").toLocalIterator():
-        held.append((row[0], row[1], row[2]))
-        if len(held) == block:
-            found = ask(held) if found is None else found.unionByName(ask(held))
-            held = []
-    if held or found is None:
-        found = ask(held) if found is None else found.unionByName(ask(held))
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                asked, ids = np.asarray(r.asked), np.asarray(r.ids)
+                left, right = (np.frombuffer(x, np.float64).reshape(-1, r.size) for x in (r.asked_vectors, r.vectors))
+                sims = np.round(left @ right.T, 9)
+                sims[asked[:, None] == ids[None, :]] = -2
+                least = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k] if sims.shape[1] > k else np.full(len(sims), -1.5)
+                rows, columns = np.nonzero(sims >= np.maximum(least, -1.5)[:, None])
+                found = sims[rows, columns]
+                order = np.lexsort((ids[columns], -found, rows))
+                rows, columns, found = rows[order], columns[order], found[order]
+                begins = np.searchsorted(rows, np.arange(len(asked)))
+                kept = np.arange(len(rows)) - begins[rows] < k
+                yield pd.DataFrame({"query_id": asked[rows[kept]], "id": ids[columns[kept]], "similarity": found[kept]})
+
+    # Queries come together by their hashes, which keeps few blocks where they are few.
+    asked = _packed(queries.where("vector is not null").repartition("query_id"), "query_id", block).select("model", "size", F.col("ids").alias("asked"), F.col("vectors").alias("asked_vectors"))
+    pairs = _packed(base, "id", 10 * block).join(asked.hint("shuffle_replicate_nl"), ["model", "size"])
+    found = pairs.mapInPandas(best, "query_id long, id long, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -235,16 +235,32 @@ def _(t):
 
 
 def _classes(t):
-    s = t.symbols.distinct().where("type = 'class' and language = 'java'").select("name", "file_id", "line_start", "line_end")
+    s = t.symbols.where("type in ('class', 'struct')").select("name", "file_id", "line_start", "line_end").distinct()
     c = t.chunks.where("content_text is not null").select("file_id", "id", "start_line", "end_line", "content_text")
     parts = s.join(c, "file_id").where("start_line <= line_end and end_line >= line_start")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_line", "id", "content_text"))), lambda x: x["content_text"]), "\n")
     return parts.groupBy("name", "file_id", "line_start").agg(body.alias("body"))
 
 
-@P.add("en_relations")
+RELATIONS_SQL = " UNION ALL ".join(f"SELECT name, unnest(regexp_extract_all(body, '{p}', 1)) AS target, '{r}' AS relation, {c}::DOUBLE AS confidence FROM b" for _, p, r, c in enrich.RELATIONS)
+
+
+# Classes of every relation beside those of the tables, which own nothing.
+MORE_CLASSES = [
+    ("Holder", "public class Holder {\n  private final List<Item> items;\n  protected Map<String, Part> parts;\n  private final Real target;\n  public Owner getParent() { return owner; }\n  private Owner owner;\n  void put(Item item, Other other) {}\n}"),
+    ("Item", "class Item {\n  private Holder holder = null;\n  public String getDocument() { return null; }\n  Item copy(Item item) {}\n}"),
+]
+MORE_CLASSES_SQL = ", ".join(f"('{n}', '{b}')" for n, b in MORE_CLASSES)
+
+
+@P.add("en_relations", f"""
+    WITH s AS (SELECT DISTINCT name, file_id, line_start, line_end FROM symbols WHERE type IN ('class', 'struct')),
+    b AS (SELECT name, s.file_id, line_start, string_agg(content_text, chr(10) ORDER BY start_line, id) AS body FROM s JOIN chunks c ON c.file_id = s.file_id AND c.start_line <= s.line_end AND c.end_line >= s.line_start
+        WHERE content_text IS NOT NULL GROUP BY ALL UNION ALL SELECT name, -1, -1, body FROM (VALUES {MORE_CLASSES_SQL}) AS m(name, body))
+    SELECT name, target, relation, max(confidence) AS confidence FROM ({RELATIONS_SQL}) WHERE target NOT IN ({", ".join(f"'{x}'" for x in enrich.PLAIN_TYPES)}) AND target <> name AND target <> '' GROUP BY ALL""")
 def _(t):
-    return enrich.relations(_classes(t))
+    more = t.spark.createDataFrame(MORE_CLASSES, "name string, body string")
+    return enrich.relations(_classes(t).select("name", "body").unionByName(more))
 
 
 @P.add("en_delegates", "SELECT DISTINCT split_part(a.qualified_name, '.', 2) AS owner, b.name AS target FROM call_graph g JOIN symbols a ON a.id = g.caller_symbol_id JOIN symbols b ON b.id = g.callee_symbol_id WHERE a.qualified_name LIKE '%.%.%'")
@@ -270,9 +286,16 @@ def _(t):
     return t.symbols.select("name", identifier_words(F.col("name")).alias("words")).distinct()
 
 
-@P.add("en_ident_extract", "SELECT DISTINCT id, unnest(regexp_extract_all(content_text, '\\bfn\\s+(\\w+)', 1)) AS name FROM files WHERE language = 'rust'")
+PLAIN_NAME_SQL = "(NOT starts_with(name, '_') AND upper(name) = name AND lower(name) <> name OR regexp_matches(name, '^\\p{Ll}'))"
+IDENTIFIERS_SQL = " UNION ALL ".join(
+    f"SELECT id, name FROM (SELECT id, unnest(regexp_extract_all(content_text, '{p}', 1)) AS name FROM files WHERE language IN ({', '.join(repr(x) for x in languages)})){' WHERE ' + PLAIN_NAME_SQL if assigned else ''}"
+    for languages, rules in enrich.IDENTIFIERS for p, assigned in rules
+)
+
+
+@P.add("en_ident_extract", f"SELECT DISTINCT id, name FROM ({IDENTIFIERS_SQL})")
 def _(t):
-    return t.files.where("language = 'rust'").select("id", F.explode(F.regexp_extract_all("content_text", F.lit(r"\bfn\s+(\w+)"), 1)).alias("name")).distinct()
+    return enrich.identifiers(t.files.select("id", "language", F.col("content_text").alias("text")))
 
 
 @P.add("en_word_freq", f"WITH {FREQUENCY_SQL} SELECT word, CAST(weight AS BIGINT) AS weight FROM fr")

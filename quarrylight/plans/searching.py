@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarrylight.functions import scoring, vectors
+from quarrylight.functions import scoring
 from quarrylight.functions import text as tx
 from quarrylight.operators import exact, retrieval
 from quarrylight.plans.registry import Plans
@@ -104,11 +104,13 @@ def _(t):
     return hits.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where("r <= 10").select("query_id", "id")
 
 
-@P.add("dedup_cosine_sim", f"WITH {VECTORS_SQL} SELECT a.vec_id AS a, b.vec_id AS b, round(array_cosine_similarity(CAST(a.embedding AS DOUBLE[64]), CAST(b.embedding AS DOUBLE[64])), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id")
+@P.add("dedup_cosine_sim", """
+    WITH s AS (SELECT a.vec_id AS a, b.vec_id AS b, round(array_cosine_similarity(CAST(a.embedding AS DOUBLE[64]), CAST(b.embedding AS DOUBLE[64])), 9) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
+    SELECT a, b, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS n FROM s) WHERE n <= 20""")
 def _(t):
-    a = t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
-    b = t.embeddings.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
-    return a.join(b, F.col("a") != F.col("b")).select("a", "b", F.round(vectors.cosine(F.col("x"), F.col("y")), 6).alias("similarity"))
+    base = t.embeddings.select(F.col("vec_id").alias("id"), F.lit("all").alias("model"), F.col("embedding").alias("vector"))
+    near = retrieval.nearest(base.where("id % 100 = 0").withColumnRenamed("id", "query_id"), base, 20)
+    return near.select(F.col("query_id").alias("a"), F.col("id").alias("b"), F.round("similarity", 6).alias("similarity"))
 
 
 @P.add("q_weighted_embedding", """

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quarrylight.core.storage import checkpoint_dir, cut, remove
 from quarrylight.functions import english, scoring, text
 from quarrylight.operators import chunking, exact
 from quarrylight.plans.registry import QUERY_VALUES, Plans, query_table
-from quarrylight.sources import adapters
+from quarrylight.sources import adapters, readers
 
 P = Plans()
 WORDS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> '')"
@@ -70,9 +73,9 @@ def _(t):
         content_text, '(?s)<script[^>]*>.*?</script>', '', 'g'), '(?s)<style[^>]*>.*?</style>', '', 'g'), '(?s)<nav[^>]*>.*?</nav>', '', 'g'), '(?s)<header[^>]*>.*?</header>', '', 'g'),
         '(?s)<footer[^>]*>.*?</footer>', '', 'g'), '(?s)<aside[^>]*>.*?</aside>', '', 'g'), '<[^>]+>', ' ', 'g'),
         '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[\\s]+', ' ', 'g')) AS plain
-    FROM files WHERE language = 'xml'""")
+    FROM files WHERE content_text IS NOT NULL""")
 def _(t):
-    return t.files.where("language = 'xml'").select("id", text.page_text(F.col("content_text")).alias("plain"))
+    return t.files.where("content_text is not null").select("id", text.page_text(F.col("content_text")).alias("plain"))
 
 
 @P.add("src_links", """SELECT DISTINCT id, unnest(regexp_extract_all(content_text, '(https?://[^\\s"''<>)\\x60]+)', 1)) AS url FROM files""")
@@ -80,21 +83,141 @@ def _(t):
     return adapters.absolute_links(t.files.select("id", F.col("content_text").alias("text")))
 
 
-@P.add("src_ssrf", """
-    WITH u AS (SELECT DISTINCT unnest(regexp_extract_all(content_text, '(https?://[^\\s"''<>)\\x60]+)', 1)) AS url FROM files),
-    h AS (SELECT url, regexp_extract(url, '^https?://([^/:?#]+@)?([^/:?#@]+)', 2) AS host FROM u)
-    SELECT url, NOT (host = 'localhost' OR host LIKE '%.localhost' OR regexp_matches(host, '^(10|127|0)\\.\\d+\\.\\d+\\.\\d+$') OR regexp_matches(host, '^192\\.168\\.\\d+\\.\\d+$')
-        OR regexp_matches(host, '^169\\.254\\.\\d+\\.\\d+$') OR regexp_matches(host, '^172\\.(1[6-9]|2\\d|3[01])\\.\\d+\\.\\d+$') OR host = '') AS allowed FROM h""")
+V4_SQL = " OR ".join(f"regexp_matches(v4, '{p}')" for p in adapters.PRIVATE_V4)
+V6_SQL = " OR ".join(f"regexp_matches(host, '{p}')" for p in adapters.PRIVATE_V6)
+# Addresses of all kinds beside those of the texts, so that every range is met.
+MORE_URLS = [
+    "http://127.0.0.1/a", "https://10.1.2.3:80/", "http://172.16.0.1/", "http://172.32.0.1/", "http://192.168.1.1/", "http://169.254.169.254/latest", "http://0.0.0.0/", "http://100.64.0.1/", "http://100.128.0.1/", "http://192.0.0.8/", "http://192.0.2.1/", "http://198.51.100.7/",
+    "http://203.0.113.9/", "http://224.0.0.1/", "http://255.255.255.255/", "http://8.8.8.8/", "http://[::1]/", "http://[::]:80/", "http://[fe80::1]/", "http://[fd00::1]/", "http://[2001:db8::1]/", "http://[::ffff:10.0.0.1]/", "http://[::ffff:8.8.4.4]/", "http://user:x@localhost/", "http://a.localhost/x", "ftp://example.test/", "http:///x",
+]
+MORE_URLS_SQL = ", ".join(f"('{u}')" for u in MORE_URLS)
+
+
+@P.add("src_ssrf", f"""
+    WITH u AS (SELECT DISTINCT unnest(regexp_extract_all(content_text, '(https?://[^\\s"\'\'<>)\\x60]+)', 1)) AS url FROM files UNION SELECT url FROM (VALUES {MORE_URLS_SQL}) AS m(url)),
+    h AS (SELECT url, lower(regexp_extract(url, '^https?://(?:[^/?#@]*@)?(\\[[^\\]/]*\\]|[^/:?#@]+)', 1)) AS host FROM u),
+    v AS (SELECT *, CASE WHEN regexp_matches(host, '^\\d+(\\.\\d+){{3}}$') THEN host ELSE regexp_extract(host, '^\\[::ffff:(\\d+(?:\\.\\d+){{3}})\\]$', 1) END AS v4 FROM h)
+    SELECT url, NOT (host = '' OR host = 'localhost' OR host LIKE '%.localhost' OR {V4_SQL} OR {V6_SQL}) AS allowed FROM v""")
 def _(t):
-    urls = adapters.absolute_links(t.files.select("id", F.col("content_text").alias("text"))).select("url").distinct()
+    more = t.spark.createDataFrame([(u,) for u in MORE_URLS], "url string")
+    urls = adapters.absolute_links(t.files.select("id", F.col("content_text").alias("text"))).select("url").unionByName(more).distinct()
     return urls.select("url", adapters.fetchable(F.col("url")).alias("allowed"))
 
 
 @P.add("src_robots", """
-    WITH d AS (SELECT name, CAST(unnest(json_extract_string(config, '$.exclude[*]')) AS VARCHAR) AS part FROM sources WHERE config IS NOT NULL)
-    SELECT f.id FROM files f JOIN sources s ON s.id = f.source_id WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.name = s.name AND starts_with('/' || f.path, '/' || d.part))""")
+    WITH d AS (SELECT id, CAST(unnest(json_extract_string(config, '$.exclude[*]')) AS VARCHAR) AS part FROM sources WHERE config IS NOT NULL)
+    SELECT f.id FROM files f JOIN sources s ON s.id = f.source_id WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.id = s.id AND starts_with('/' || f.path, '/' || d.part))""")
+def _(t):
+    """Every source has a robots.txt: one section for another agent, which says nothing here, and one for all."""
+    excluded = F.from_json("config", "exclude array<string>").getField("exclude")
+    rules = F.array_join(F.transform(F.coalesce(excluded, F.array().cast("array<string>")), lambda x: F.concat(F.lit("Disallow: /"), x)), "\n")
+    robots = t.sources.select(F.col("id").alias("source_id"), F.concat(F.lit("# rules\nUser-agent: other\nDisallow: /\n\nUser-agent: *\n"), rules, F.lit("\nDisallow:\nAllow: /x\n")).alias("text"))
+    return adapters.robots_allowed(t.files.join(t.sources.select(F.col("id").alias("source_id")), "source_id", "left_semi"), adapters.robots_rules(robots)).select("id")
+
+
+@P.add("src_binary_detect", """
+    WITH b AS (SELECT id, hex(encode(content_text))[1:1024] AS h FROM files WHERE content_text IS NOT NULL UNION ALL SELECT -vec_id - 1, hex(encode(repeat(chr(CAST(vec_id % 40 + 1 AS INTEGER)), 4) || 'abcd'))[1:1024] FROM embeddings
+        UNION ALL SELECT * FROM (VALUES (-1000001, '89504E470D0A1A0A'), (-1000002, 'FFD8FFE0'), (-1000003, '255044462D'), (-1000004, '6100'), (-1000005, '4D5A90'), (-1000006, '')) AS m(id, h)),
+    c AS (SELECT id, h, list_transform(range(0, length(h) // 2), lambda i: substr(h, CAST(2 * i + 1 AS BIGINT), 2)) AS bytes FROM b)
+    SELECT id, regexp_matches(h, '^(89504E47|FFD8FF|47494638|25504446|504B0304|7F454C46|1F8B|CAFEBABE|4D5A)') OR list_contains(bytes, '00')
+        OR len(list_filter(bytes, lambda x: regexp_matches(x, '^(0[0-8]|0[BEF]|1[0-9A-F]|7F)$'))) > 0.3 * len(bytes) AS is_binary FROM c""")
+def _(t):
+    more = [(-1000001, "89504E470D0A1A0A"), (-1000002, "FFD8FFE0"), (-1000003, "255044462D"), (-1000004, "6100"), (-1000005, "4D5A90"), (-1000006, "")]
+    sign = F.char(F.col("vec_id") % 40 + 1)
+    raw = t.files.where("content_text is not null").select("id", F.encode("content_text", "UTF-8").alias("content"))
+    raw = raw.unionByName(t.embeddings.select((-F.col("vec_id") - 1).alias("id"), F.encode(F.concat(F.repeat(sign, F.lit(4)), F.lit("abcd")), "UTF-8").alias("content")))
+    raw = raw.unionByName(t.spark.createDataFrame(more, "id long, h string").select("id", F.unhex("h").alias("content")))
+    return raw.select("id", adapters.is_binary(F.col("content")).alias("is_binary"))
+
+
+@P.add("src_fs_scan", "SELECT kind, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents WHERE text IS NOT NULL AND kind IS NOT NULL GROUP BY 1")
 def _(t):
-    return adapters.robots_allowed(t.files, t.sources).select("id")
+    """Documents written to a tree of folders, scanned with all their files."""
+    place = f"{checkpoint_dir(t.spark)}/scan-{uuid.uuid4().hex}"
+    t.documents.where("text is not null and kind is not null").select("kind", "text").write.partitionBy("kind").option("maxRecordsPerFile", 1000).text(place)
+    found = adapters.scan_files(t.spark, place, "*.txt").groupBy(F.regexp_extract("path", "kind=([^/]+)/", 1).alias("kind")).agg(F.sum("length").alias("bytes"))
+    found = cut(found)
+    remove(t.spark, place)
+    return found
+
+
+@P.add("src_sitemap", "SELECT 'https://host.test/' || path AS url FROM files WHERE path IS NOT NULL AND source_id IS NOT NULL")
+def _(t):
+    """Every source's files as its sitemap, in pages of 1,000."""
+    located = F.concat(F.lit("  <url>\n    <loc>https://host.test/"), "path", F.lit("</loc>\n  </url>"))
+    pages = t.files.where("path is not null and source_id is not null").groupBy("source_id", F.floor(F.col("id") / 1000)).agg(F.array_join(F.collect_list(located), "\n").alias("body"))
+    return adapters.sitemap_urls(pages.select(F.concat(F.lit('<?xml version="1.0"?>\n<urlset>\n'), "body", F.lit("\n</urlset>")).alias("text")))
+
+
+@P.add("src_web_crawl", """
+    WITH RECURSIVE p AS (SELECT doc_id AS i FROM documents), r AS (SELECT 0 AS depth, 1::BIGINT AS i UNION ALL SELECT depth + 1, j FROM r, LATERAL (SELECT unnest([3 * i, 3 * i + 1, 3 * i + 2]) AS j) WHERE depth < 3 AND j IN (SELECT i FROM p))
+    SELECT 'https://host.test/d/' || i AS url, min(depth) AS depth FROM r WHERE i IN (SELECT i FROM p) GROUP BY 1 ORDER BY depth, url LIMIT 100""")
+def _(t):
+    """Documents as pages, each with links to three others, one to itself, one to nowhere and one to another host."""
+    i = F.col("doc_id")
+    links = [F.concat(F.lit('<a href="/d/'), (3 * i).cast("string"), F.lit('#top">x</a>')), F.concat(F.lit("<a class='y' href='https://host.test/d/"), (3 * i + 1).cast("string"), F.lit("'>x</a>")), F.concat(F.lit('<a href="'), (3 * i + 2).cast("string"), F.lit('">x</a>'))]
+    html = F.concat(*links, F.lit('<a href="https://other.test/d/7">x</a><a href="/d/none">x</a><a href="#here">x</a>'))
+    return adapters.crawl_order(t.documents.select(F.concat(F.lit("https://host.test/d/"), i.cast("string")).alias("url"), html.alias("html")), "https://host.test/d/1").withColumn("depth", F.col("depth").cast("int"))
+
+
+@P.add("src_golden_jsonl", f"SELECT 'q' || query_id AS id, CASE WHEN query_id % 2 = 0 THEN 'hybrid' ELSE 'exact' END AS mode, query, CASE WHEN query_id % 3 = 0 THEN 5 ELSE 10 END AS k, ['src/' || query_id || '.rs'] AS expected FROM {QUERY_VALUES}")
+def _(t):
+    """The stated queries as a file of JSON lines, with remarks and blank lines between."""
+    q = query_table(t)
+    n = F.col("query_id")
+    fields = F.struct(F.concat(F.lit("q"), n.cast("string")).alias("id"), F.when(n % 2 == 1, "exact").alias("mode"), "query", F.when(n % 3 == 0, 5).alias("k"), F.array(F.concat(F.lit("src/"), n.cast("string"), F.lit(".rs"))).alias("expect_files"))
+    lines = q.select(F.explode(F.array(F.to_json(fields), F.lit("# remark"), F.lit("  "))).alias("value"))
+    return readers.golden_rows(lines).select("id", "mode", "query", "k", "expected")
+
+
+PROFILE = """
+name = "engine"
+[[layers]]
+pattern_type = "path_contains"
+pattern = "/storage/"
+layer = "storage"
+[[side_effects]]
+name_patterns = ["^(delete|prune)", "^drop"]
+effect = "delete"
+[[resources]]
+path_or_class_keywords = ["outbox", "queue"]
+resource = "queue"
+[[annotations]]
+annotation_type = "todo"
+regex = "TODO (.+)"
+capture_group = 1
+[[query_mappings]]
+nl_terms = ["restart", "resume"]
+symbols = ["replay_batch"]
+"""
+
+
+@P.add("src_profile_toml", """SELECT * FROM (VALUES ('layer', '/storage/', 'storage'), ('side_effect', '^(delete|prune)', 'delete'), ('side_effect', '^drop', 'delete'), ('resource', 'outbox', 'queue'), ('resource', 'queue', 'queue'),
+    ('annotation', 'TODO (.+)', 'todo'), ('query_mapping', 'restart', 'replay_batch'), ('query_mapping', 'resume', 'replay_batch')) AS p(kind, pattern, value)""")
+def _(t):
+    return readers.profile_rules(t.spark, readers.profile_of(PROFILE))
+
+
+@P.add("src_pdf_chunk")
+def _(t):
+    """Chunks as the blocks of printed documents: classes are headings, fifty lines a page."""
+    order = Window.partitionBy("file_id").orderBy("start_line", "id")
+    blocks = t.chunks.where("content_text is not null").select(F.col("file_id").alias("doc_id"), F.row_number().over(order).alias("n"), F.floor(F.col("start_line") / 50).alias("page"), F.when(F.col("chunk_type") == "class", 1).otherwise(0).alias("level"), F.col("content_text").alias("text"))
+    return readers.printed_chunks(blocks).select("doc_id", "piece", "heading", F.sha2("text", 256).alias("digest"), "first_page", "last_page")
+
+
+@P.add("msg_extract", """
+    SELECT doc_id AS id, i - 1 AS turn, regexp_extract(line, '^\\[(\\w+)\\] ', 1) AS role, substr(line, length(regexp_extract(line, '^\\[\\w+\\] ', 0)) + 1) AS text
+    FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\\[\\w+\\] ')) AS ls FROM documents WHERE kind = 'chat'))
+    WHERE trim(substr(line, length(regexp_extract(line, '^\\[\\w+\\] ', 0)) + 1)) <> ''""")
+def _(t):
+    """The turns of chats, written as lines of sessions in the shapes of three providers in turn, and read again."""
+    turns = adapters.chat_turns(t.documents.where("kind = 'chat'"))
+    a = F.to_json(F.struct(F.col("role").alias("type"), F.struct("role", F.array(F.struct(F.lit("text").alias("type"), F.col("body").alias("text"))).alias("content")).alias("message")))
+    b = F.to_json(F.struct(F.lit("response_item").alias("type"), F.struct("role", F.array(F.struct(F.lit("output_text").alias("type"), F.col("body").alias("text"))).alias("content")).alias("payload")))
+    c = F.to_json(F.struct(F.array(F.struct(F.col("role").alias("type"), F.col("body").alias("content"))).alias("messages")))
+    lines = turns.select((F.col("doc_id") * 1_000_000 + F.col("turn")).alias("id"), F.when(F.col("turn") % 3 == 0, a).when(F.col("turn") % 3 == 1, b).otherwise(c).alias("text"))
+    return adapters.session_messages(lines).select(F.floor(F.col("id") / 1_000_000).alias("id"), (F.col("id") % 1_000_000).alias("turn"), "role", "text")
 
 
 @P.add("src_pdf_cleanup", """
@@ -275,7 +398,8 @@ def _(t):
 
 @P.add("jsonl_body_literal")
 def _(t):
-    return adapters.json_strings(t.files.where("language = 'json'").select("id", F.col("content_text").alias("text"))).where(F.array_contains(text.words(F.col("value")), "copied")).select("id").distinct()
+    """Every word within a string of a JSON file or of JSON lines, for any literal that is asked for."""
+    return adapters.json_strings(t.files.select("id", F.col("content_text").alias("text"))).select("id", F.explode(text.words(F.col("value"))).alias("word")).distinct()
 
 
 @P.add("snippet", """
@@ -293,20 +417,29 @@ def _(t):
 
 
 @P.add("content_truncate", """
-    SELECT id, CASE WHEN strlen(content_text) > 16000 THEN substr(content_text, 1, 16000) || '...' || chr(10) || '[truncated: ' || strlen(content_text) || ' chars total]' ELSE content_text END AS shown
-    FROM files WHERE content_text IS NOT NULL AND strlen(content_text) = length(content_text)""")
+    WITH b AS (SELECT id, content_text, strlen(content_text) AS n, CASE WHEN strlen(content_text) > 16000 THEN hex(encode(content_text)) END AS h FROM files WHERE content_text IS NOT NULL),
+    k AS (SELECT *, list_filter([16000, 15999, 15998, 15997], lambda k: substr(h, CAST(2 * k + 1 AS BIGINT), 1) NOT IN ('8', '9', 'A', 'B'))[1] AS most FROM b)
+    SELECT id, CASE WHEN n > 16000 THEN decode(unhex(substr(h, 1, CAST(2 * most AS BIGINT)))) || '...' || chr(10) || '[truncated: ' || n || ' chars total]' ELSE content_text END AS shown FROM k""")
 def _(t):
-    return t.files.where("content_text is not null and octet_length(content_text) = length(content_text)").select("id", text.truncated(F.col("content_text")).alias("shown"))
+    return t.files.where("content_text is not null").select("id", text.truncated(F.col("content_text")).alias("shown"))
+
+
+def _removed_sql(patterns: list[str], column: str = "content_text") -> str:
+    for p in patterns:
+        column = f"regexp_replace({column}, '{p.replace('(?dm)', '(?m)').replace('(?ds)', '(?s)').replace(chr(39), chr(39) * 2)}', '', 'g')"
+    return f"regexp_replace({column}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
+
+
+COMPRESSED_SQL = "CASE " + " ".join(f"WHEN language IN ({', '.join(repr(x) for x in languages)}) THEN {_removed_sql(text.REMOVED[rules])}" for rules, languages in text.SAME_RULES.items())
+COMPRESSED_SQL += f" ELSE regexp_replace({_removed_sql([text.REMOVED_ELSE])}, '[ \\t]+\\n', chr(10), 'g') END"
 
 
-@P.add("compress_content", """
-    SELECT language, count(*) AS files, CAST(sum(strlen(r)) AS BIGINT) AS bytes FROM (SELECT language, CASE WHEN strlen(content_text) < 100 THEN content_text ELSE trim(
-        CASE language WHEN 'go' THEN regexp_replace(regexp_replace(regexp_replace(regexp_replace(content_text, '(?s)import\\s*\\([^)]*\\)\\s*\\n', '', 'g'), '(?m)^import\\s+"[^"]+"\\s*\\n', '', 'g'), '(?m)^//\\s*(Copyright|License|Author|SPDX).*\\n', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')
-        WHEN 'java' THEN regexp_replace(regexp_replace(regexp_replace(regexp_replace(content_text, '(?m)^import\\s+[^;]+;\\s*\\n', '', 'g'), '(?m)^package\\s+[^;]+;\\s*\\n', '', 'g'), '(?s)/\\*\\*?\\s*(Copyright|License|Author).*?\\*/\\s*\\n?', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')
-        END, ' ' || chr(10) || chr(13) || chr(9)) END AS r FROM files WHERE language IN ('go', 'java') AND content_text IS NOT NULL) GROUP BY 1""")
+@P.add("compress_content", f"""
+    SELECT id, strlen(content_text) AS before, CAST(strlen(r) AS BIGINT) AS after, sha256(r) AS digest FROM (SELECT id, content_text, CASE WHEN strlen(content_text) < 100 THEN content_text ELSE regexp_replace(regexp_replace({COMPRESSED_SQL}, '^\\s+', ''), '\\s+$', '') END AS r
+    FROM files WHERE content_text IS NOT NULL)""")
 def _(t):
-    r = t.files.where("language in ('go', 'java') and content_text is not null").select("language", text.compressed(F.col("content_text"), F.col("language")).alias("r"))
-    return r.groupBy("language").agg(F.count("*").alias("files"), F.sum(F.octet_length("r")).cast("long").alias("bytes"))
+    r = t.files.where("content_text is not null").select("id", "content_text", text.compressed(F.col("content_text"), F.col("language")).alias("r"))
+    return r.select("id", F.octet_length("content_text").cast("long").alias("before"), F.octet_length("r").cast("long").alias("after"), F.sha2("r", 256).alias("digest"))
 
 
 SENSITIVE_SQL = " UNION ALL ".join(

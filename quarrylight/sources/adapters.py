@@ -62,22 +62,39 @@ def in_scope(files: DataFrame, sources: DataFrame) -> DataFrame:
     return files.join(rules, "source_id").where(~F.coalesce(F.arrays_overlap(F.split("path", "/"), "excluded"), F.lit(False)))
 
 
-def robots_allowed(files: DataFrame, sources: DataFrame) -> DataFrame:
-    """Files whose path no rule of their source disallows (a rule is the beginning of a path)."""
-    rules = sources.select(F.col("id").alias("source_id"), F.explode(F.from_json("config", "exclude array<string>").getField("exclude")).alias("rule"))
-    owned = files.join(sources.select(F.col("id").alias("source_id")), "source_id", "left_semi")
-    return owned.join(rules, (owned["source_id"] == rules["source_id"]) & F.concat(F.lit("/"), owned["path"]).startswith(F.concat(F.lit("/"), rules["rule"])), "left_anti")
+def robots_rules(robots: DataFrame, agent: str = "quarrylight") -> DataFrame:
+    """``source_id, rule``: the beginnings of paths that the robots texts (source_id, text) disallow for all or for ``agent``."""
+    lines = F.transform(F.split("text", "\r?\n"), lambda x: F.trim(x))
+    start = F.struct(F.lit(False).alias("ours"), F.array().cast("array<string>").alias("rules"))
+
+    def read(held, line):
+        ours = F.when(line.startswith("User-agent:"), line.contains("*") | line.contains(agent)).otherwise(held["ours"])
+        rule = F.trim(F.substring(line, 10, 1 << 20))
+        return F.struct(ours.alias("ours"), F.when(ours & line.startswith("Disallow:") & (rule != ""), F.array_append(held["rules"], rule)).otherwise(held["rules"]).alias("rules"))
+
+    return robots.select("source_id", F.explode(F.aggregate(lines, start, read)["rules"]).alias("rule")).distinct()
+
+
+def robots_allowed(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """Files whose path begins with no rule (source_id, rule) of their source."""
+    same = rules.select(F.col("source_id").alias("_source"), "rule")
+    return files.join(same, (files["source_id"] == F.col("_source")) & F.concat(F.lit("/"), files["path"]).startswith(F.col("rule")), "left_anti")
 
 
 def absolute_links(pages: DataFrame) -> DataFrame:
     return pages.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(URL), 1))).alias("url")).distinct()
 
 
+# Addresses that aren't fetched: of the machine itself, private, shared, reserved, for documentation, multicast.
+PRIVATE_V4 = [r"^127\.", r"^10\.", r"^172\.(1[6-9]|2\d|3[01])\.", r"^192\.168\.", r"^169\.254\.", r"^0\.", r"^100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.", r"^192\.0\.0\.", r"^192\.0\.2\.", r"^198\.51\.100\.", r"^203\.0\.113\.", r"^2(2[4-9]|[34]\d|5[0-5])\."]
+PRIVATE_V6 = [r"^\[::1?\]$", r"^\[(0+:){7}0*1?\]$", r"^\[fe[89ab][0-9a-f]:", r"^\[f[cd][0-9a-f]{2}:"]
+
+
 def fetchable(url: Column) -> Column:
-    """False for hosts of the machine itself and of private networks."""
-    host = F.regexp_extract(url, r"^https?://([^/:?#]+@)?([^/:?#@]+)", 2)
-    private = [r"^(10|127|0)\.\d+\.\d+\.\d+$", r"^192\.168\.\d+\.\d+$", r"^169\.254\.\d+\.\d+$", r"^172\.(1[6-9]|2\d|3[01])\.\d+\.\d+$"]
-    return ~(reduce(lambda a, p: a | host.rlike(p), private, (host == "localhost") | host.endswith(".localhost") | (host == "")))
+    """False for other schemes than http and https, and for hosts of the machine itself and of private or reserved networks."""
+    host = F.lower(F.regexp_extract(url, r"^https?://(?:[^/?#@]*@)?(\[[^\]/]*\]|[^/:?#@]+)", 1))
+    v4 = F.when(host.rlike(r"^\d+(\.\d+){3}$"), host).otherwise(F.regexp_extract(host, r"^\[::ffff:(\d+(?:\.\d+){3})\]$", 1))
+    return ~(reduce(lambda a, p: a | host.rlike(p), PRIVATE_V6, reduce(lambda a, p: a | v4.rlike(p), PRIVATE_V4, (host == "") | (host == "localhost") | host.endswith(".localhost"))))
 
 
 def sitemap_urls(sitemaps: DataFrame) -> DataFrame:
@@ -124,7 +141,7 @@ def is_binary(content: Column) -> Column:
     head = F.hex(F.substring(content, 1, 512))
     signed = reduce(lambda a, m: a | head.startswith(m), magic, F.lit(False))
     pairs = F.regexp_replace(head, "(..)", "$1 ")
-    controls = F.length(pairs) - F.length(F.regexp_replace(pairs, r"\b(0[0-8]|0[BEF]|1[0-9A-F]|7F)\b", "_"))
+    controls = F.regexp_count(pairs, F.lit(r"\b(0[0-8]|0[BEF]|1[0-9A-F]|7F)\b"))
     return signed | pairs.rlike(r"\b00\b") | (controls > 0.3 * F.length(head) / 2)
 
 

@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 
 def golden_queries(spark: SparkSession, path: str) -> DataFrame:
     """``id, mode, query, source, k, expected, category`` of a file of JSON lines; blank lines and those with # are left out."""
-    lines = spark.read.text(path).where(~F.trim("value").startswith("#") & (F.trim("value") != ""))
+    return golden_rows(spark.read.text(path))
+
+
+def golden_rows(lines: DataFrame) -> DataFrame:
+    """The same of the lines themselves (column ``value``)."""
+    lines = lines.where(~F.trim("value").startswith("#") & (F.trim("value") != ""))
     schema = "id string, mode string, query string, source string, k int, expect_files array<string>, category string"
     x = lines.select(F.from_json("value", schema).alias("x"))
     return x.select("x.id", F.coalesce("x.mode", F.lit("hybrid")).alias("mode"), "x.query", "x.source", F.coalesce("x.k", F.lit(10)).alias("k"), F.coalesce("x.expect_files", F.array().cast("array<string>")).alias("expected"), "x.category")
@@ -19,8 +24,13 @@ def golden_queries(spark: SparkSession, path: str) -> DataFrame:
 
 def domain_profile(path: str) -> dict:
     """Rules of one domain (a TOML file): layers, side effects, resources, annotations, delegation and query mappings, in the forms the enrichment takes."""
-    with open(path, "rb") as f:
-        raw = tomllib.load(f)
+    with open(path, encoding="utf-8") as f:
+        return profile_of(f.read())
+
+
+def profile_of(text: str) -> dict:
+    """The same of the text itself."""
+    raw = tomllib.loads(text)
     return {
         "name": raw.get("name", ""),
         "layers": [(r["pattern_type"], r.get("pattern", ""), r["layer"]) for r in raw.get("layers", [])],
@@ -32,6 +42,13 @@ def domain_profile(path: str) -> dict:
     }
 
 
+def profile_rules(spark: SparkSession, profile: dict) -> DataFrame:
+    """``kind, pattern, value``: the rules of a profile as a table, to be joined with names and paths."""
+    rows = [("layer", p, x) for _, p, x in profile["layers"]] + [("side_effect", p, x) for p, x in profile["side_effects"]] + [("resource", p, x) for p, x in profile["resources"]]
+    rows += [("annotation", p, x) for x, p, _ in profile["annotations"]] + [("query_mapping", p, x) for p, x in profile["query_mappings"]]
+    return spark.createDataFrame(rows, "kind string, pattern string, value string")
+
+
 def printed_chunks(blocks: DataFrame, size: int = 768, overlap: int = 96, least: int = 80) -> DataFrame:
     """``doc_id, piece, heading, text, first_page, last_page`` of blocks (doc_id, n, page, level, text) of printed documents.
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quarrylight.functions import text as tx
 
 PHRASE_BONUS, EXACT_BONUS = 1.5, 2.0
+UNBOUND = "a view in scope has a component without a document"
 
 
 @dataclass(frozen=True)
@@ -194,9 +195,9 @@ def search(query: str | Node, bindings: DataFrame, documents: DataFrame, limit:
     order = list(dict.fromkeys(leaf for leaf, _ in found))
     spot = {leaf: k for k, leaf in enumerate(order)}
     positive = list(dict.fromkeys(leaf for leaf, negated in found if not negated))
-    unbound = bindings.join(documents, "doc_id", "left_anti").limit(1)
-    if unbound.count():
-        raise ValueError("a view in scope has a component without a document")
+    # Only ids are read for this.
+    if not bindings.select("doc_id").join(documents.select("doc_id"), "doc_id", "left_anti").isEmpty():
+        raise ValueError(UNBOUND)
     tokens = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("content")).withColumn("tokens", tx.words(F.col("content")))
     counted = tokens.select("doc_id", F.size("tokens").alias("length"), F.array(*[_leaf_counts(x, F.col("tokens"), F.col("content")) for x in order]).alias("counts"))
     views = (
@@ -213,7 +214,9 @@ def search(query: str | Node, bindings: DataFrame, documents: DataFrame, limit:
 
     flags = [F.exists("parts", present(k)) for k in range(len(order))]
     views = views.select("occurrence_id", "view_length", "parts", F.array(*flags).alias("flags"))
-    stats = views.agg(F.count("*").alias("n"), F.avg("view_length").alias("average"), F.array(*[F.count_if(F.get("flags", F.lit(k))) for k in range(len(order))]).alias("df"))
+    matches = holds(tree, lambda leaf: F.get("flags", F.lit(spot[leaf])))
+    # How many match in all is counted with the other numbers of the corpus, so that the views are gone through once.
+    stats = views.agg(F.count("*").alias("n"), F.count_if(matches).alias("total"), F.avg("view_length").alias("average"), F.array(*[F.count_if(F.get("flags", F.lit(k))) for k in range(len(order))]).alias("df"))
     scored = views.crossJoin(F.broadcast(stats))
     score = F.lit(0.0)
     for leaf in positive:
@@ -225,8 +228,7 @@ def search(query: str | Node, bindings: DataFrame, documents: DataFrame, limit:
         else:
             score = score + F.when(F.get("flags", k), PHRASE_BONUS if isinstance(leaf, Phrase) else EXACT_BONUS).otherwise(0.0)
     matched = F.array_sort(F.array_compact(F.array(*[F.when(F.get("flags", F.lit(spot[x])), F.lit(x.value)) for x in positive])))
-    hits = scored.where(holds(tree, lambda leaf: F.get("flags", F.lit(spot[leaf])))).select("occurrence_id", score.alias("score"), matched.alias("matched"))
+    hits = scored.where(matches).select("occurrence_id", score.alias("score"), matched.alias("matched"), "total")
     if stages is not None:
-        hits = hits.join(stages.groupBy("occurrence_id").agg(F.sum("bonus").alias("bonus")), "occurrence_id", "left").select("occurrence_id", (F.col("score") + F.coalesce("bonus", F.lit(0.0))).alias("score"), "matched")
-    hits = hits.crossJoin(F.broadcast(hits.agg(F.count("*").alias("total"))))
+        hits = hits.join(stages.groupBy("occurrence_id").agg(F.sum("bonus").alias("bonus")), "occurrence_id", "left").select("occurrence_id", (F.col("score") + F.coalesce("bonus", F.lit(0.0))).alias("score"), "matched", "total")
     return hits if limit is None else hits.orderBy(F.col("score").desc(), "occurrence_id").limit(limit)

@@ -16,7 +16,7 @@ VECTORS_SQL = """v AS (SELECT chunk_id AS id, model, CAST(vector AS DOUBLE[64])
 SEMANTIC_SQL = f"""{VECTORS_SQL}, sem AS (SELECT query_id, id, sim, rank FROM (SELECT q.id AS query_id, b.id AS id, round(array_cosine_similarity(q.x, b.x), 9) AS sim,
     row_number() OVER (PARTITION BY q.id ORDER BY round(array_cosine_similarity(q.x, b.x), 9) DESC, b.id) AS rank FROM v q JOIN v b ON q.model = b.model AND q.id <> b.id WHERE q.id % 100 = 0) WHERE rank <= 100)"""
 TERMS_SQL = f"""tok AS (SELECT id, {sql_words('content_text')} AS ws FROM chunks WHERE content_text IS NOT NULL),
-    asked AS (SELECT id AS query_id, unnest(list_sort(list_distinct(list_filter(ws, lambda w: length(w) >= 6)))[1:3]) AS term FROM tok WHERE id % 100 = 0),
+    asked AS (SELECT id AS query_id, unnest(list_distinct({sql_words("regexp_extract(content_text, '\\S[^\\n]*', 0)")})) AS term FROM chunks WHERE id % 100 = 0 AND content_text IS NOT NULL),
     st AS (SELECT count(*) AS n, avg(len(ws)) AS average FROM tok WHERE len(ws) > 0),
     p AS (SELECT id, term, count(*) AS tf, any_value(length) AS length FROM (SELECT id, len(ws) AS length, unnest(ws) AS term FROM tok) GROUP BY id, term),
     d AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
@@ -55,8 +55,9 @@ def _texts(t):
 
 
 def _asked(t):
-    words = F.filter(tx.words(F.col("content_text")), lambda w: F.length(w) >= 6)
-    return t.chunks.where("id % 100 = 0 and content_text is not null").select(F.col("id").alias("query_id"), F.slice(F.array_sort(F.array_distinct(words)), 1, 3).alias("terms"))
+    """The first line of every hundredth chunk as a query, with all its words."""
+    line = F.regexp_extract("content_text", r"\S[^\n]*", 0)
+    return t.chunks.where("id % 100 = 0 and content_text is not null").select(F.col("id").alias("query_id"), F.array_distinct(tx.words(line)).alias("terms"))
 
 
 def _semantic(t, k=100):

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylight.core.storage import cut
 from quarrylight.functions import scoring
 from quarrylight.functions import text as tx
 
@@ -72,14 +73,19 @@ def postings(texts: DataFrame) -> DataFrame:
 def word_channel(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """``query_id, id, score, rank``: the ``k`` best texts of every query by its words (any of them).
 
-    ``queries``: query_id, terms. Only the postings of asked terms are counted; a term's weight falls with the texts it is in.
+    ``queries``: query_id, terms. Only the postings of asked terms are kept; a term's weight falls with the texts it is in.
+    The texts are gone through once: an empty term stands for the text itself and gives the numbers of the corpus.
     """
     tokens = texts.select("id", tx.words(F.col("text")).alias("ws")).where(F.size("ws") > 0)
-    stats = tokens.agg(F.count("*").alias("n"), F.avg(F.size("ws")).alias("average"))
-    asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    counted = tokens.select("id", F.size("ws").alias("length"), F.explode("ws").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term")).where("term <> ''")
+    wanted = asked.select("term").unionByName(texts.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    marked = tokens.select("id", F.size("ws").alias("length"), F.explode(F.concat("ws", F.array(F.lit("")))).alias("term")).join(wanted, "term", "left_semi")
+    counted = cut(marked.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length")))
+    stats = counted.where("term = ''").agg(F.count("*").alias("n"), F.avg("length").alias("average"))
+    counted = counted.where("term <> ''")
     df = counted.groupBy("term").agg(F.count("*").alias("df"))
     weighed = counted.join(df, "term").crossJoin(F.broadcast(stats)).select("id", "term", (F.log(1 + (F.col("n") + 1) / (F.col("df") + 1)) * F.col("tf") / (F.col("tf") + 0.5 + 0.5 * F.col("length") / F.col("average"))).alias("part"))
+    # A word that many texts and queries have is split by AQE; scores are added up in part before they move.
     scored = weighed.join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum("part"), 9).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -104,8 +110,11 @@ def caller_counts(chunks: DataFrame, symbols: DataFrame, calls: DataFrame) -> Da
 
 def boosted(candidates: DataFrame, chunks: DataFrame, files: DataFrame, callers: DataFrame, floor: float = 0.005) -> DataFrame:
     """``query_id, id, score, file_id, source_id, path, rank``: fused candidates weighed by what they are; weak ones drop out."""
-    hydrated = candidates.join(chunks.select("id", "file_id", "chunk_type", "level", F.octet_length("content_text").alias("bytes")), "id").join(files.select(F.col("id").alias("file_id"), "source_id", "path"), "file_id").join(callers, "id", "left")
-    score = F.col("fused") * scoring.type_boost(F.col("chunk_type")) * scoring.path_boost(F.col("path")) * scoring.length_boost(F.coalesce("bytes", F.lit(0))) * scoring.level_boost(F.col("level")) * scoring.popularity_boost(F.coalesce("callers", F.lit(0)))
+    # What a chunk or a file is weighed by is worked out once for each, not for every query that finds it.
+    by_chunk = scoring.type_boost(F.col("chunk_type")) * scoring.length_boost(F.coalesce(F.octet_length("content_text"), F.lit(0))) * scoring.level_boost(F.col("level"))
+    weighed = chunks.select("id", "file_id", by_chunk.alias("by_chunk")).join(files.select(F.col("id").alias("file_id"), "source_id", "path", scoring.path_boost(F.col("path")).alias("by_path")), "file_id").join(callers, "id", "left")
+    hydrated = candidates.join(weighed, "id")
+    score = F.col("fused") * F.col("by_chunk") * F.col("by_path") * scoring.popularity_boost(F.coalesce("callers", F.lit(0)))
     scored = hydrated.select("query_id", "id", F.round(score, 9).alias("score"), "file_id", "source_id", "path").where(F.col("score") >= floor)
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")))
 

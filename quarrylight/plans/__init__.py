@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylight.plans import evaluation, graphs, ingest, relational, searching, streams, texts
+from quarrylight.plans import evaluation, graphs, ingest, relational, searching, streams, surface, texts
 from quarrylight.plans.registry import Query, Tables
 
-_SECTIONS = (texts, relational, searching, graphs, ingest, streams, evaluation)
+_SECTIONS = (texts, relational, searching, graphs, ingest, streams, evaluation, surface)
 
 
 def flagship(spark: SparkSession, base: str) -> DataFrame:

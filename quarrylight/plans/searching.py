@@ -81,7 +81,7 @@ def _boosted(t):
 
 
 def flagship(t):
-    return retrieval.diverse(_boosted(t), _texts(t))
+    return retrieval.diverse(_boosted(t), _texts(t), vectors=_base(t))
 
 
 @P.add("knn_cosine", f"WITH {SEMANTIC_SQL} SELECT query_id, id, rank FROM sem WHERE rank <= 10")
@@ -217,7 +217,7 @@ def _(t):
 
 @P.add("dedup_greedy")
 def _(t):
-    return retrieval.diverse(_boosted(t), _texts(t), limit=100).select("query_id", "id", "place")
+    return retrieval.diverse(_boosted(t), _texts(t), limit=100, vectors=_base(t)).select("query_id", "id", "place")
 
 
 @P.add("dedup_pairwise", f"""
@@ -235,7 +235,7 @@ def _(t):
 def _(t):
     kept = flagship(t)
     words = _texts(t).select("id", tx.words(F.col("text")).alias("ws"))
-    closeness = kept.select("query_id", "id").join(_asked(t), "query_id").join(words, "id").select("query_id", "id", (F.size(F.array_intersect("terms", "ws")) / F.size("terms")).alias("closeness"))
+    closeness = kept.select("query_id", "id").join(_asked(t), "query_id").join(words, "id").select("query_id", "id", F.coalesce(F.try_divide(F.size(F.array_intersect("terms", "ws")), F.size("terms")), F.lit(0.0)).alias("closeness"))
     return retrieval.rerank(kept, closeness)
 
 

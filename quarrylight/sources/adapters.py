@@ -278,43 +278,55 @@ def chat_export(exports: DataFrame) -> DataFrame:
     return exports.select("json").mapInPandas(run, "title string, turn long, role string, text string")
 
 
+def _head(text: str, most: int) -> str:
+    """The whole characters within the first ``most`` bytes."""
+    return text.encode()[:most].decode(errors="ignore")
+
+
+def _session_part(p) -> str:
+    if isinstance(p, str):
+        return p
+    kind = p.get("type", "text")
+    if kind in ("text", "input_text", "output_text"):
+        return p.get("text", "")
+    if kind == "tool_use":
+        return f"[tool {p.get('name', '')}] {_head(json.dumps(p.get('input', {}), ensure_ascii=False), 200)}"
+    if kind == "tool_result":
+        return f"[result] {_head(str(p.get('content', '')), 500)}"
+    if kind == "thinking":
+        return f"<thinking>{p.get('thinking', '')}</thinking>"
+    return ""
+
+
+def _session_messages(x: dict) -> Iterator[tuple[str, str]]:
+    if "message" in x and isinstance(x["message"], dict):
+        content = x["message"].get("content", "")
+        yield x["message"].get("role", x.get("type", "unknown")), "\n".join(_session_part(p) for p in ([content] if isinstance(content, str) else content))
+    elif x.get("type") == "response_item":
+        payload = x.get("payload", {})
+        if payload.get("type") == "function_call":
+            yield "assistant", f"[tool {payload.get('name', '')}] {_head(str(payload.get('arguments', '')), 200)}"
+        elif payload.get("type") == "function_call_output":
+            yield "tool", f"[result] {_head(str(payload.get('output', '')), 500)}"
+        else:
+            yield payload.get("role", "assistant"), "\n".join(_session_part(p) for p in payload.get("content") or payload.get("summary") or [])
+    else:
+        for m in x.get("messages", []):
+            thoughts = "".join(f"<thinking>{t.get('description', t) if isinstance(t, dict) else t}</thinking>\n" for t in m.get("thoughts", []))
+            yield m.get("type", "unknown"), thoughts + str(m.get("content", ""))
+
+
+def session_lines(data) -> list[tuple[str, str]]:
+    """(role, text) of the messages of one line of a session; none for what is no message."""
+    return [(r, t) for r, t in _session_messages(data) if t.strip()] if isinstance(data, dict) else []
+
+
 def session_messages(lines: DataFrame) -> DataFrame:
     """``id, role, text`` of JSON lines of assistant sessions (columns ``id, text``), in three providers' shapes.
 
     Inputs of tools are cut to 200 bytes, their results to 500, thoughts are marked.
     """
 
-    def part(p) -> str:
-        if isinstance(p, str):
-            return p
-        kind = p.get("type", "text")
-        if kind in ("text", "input_text", "output_text"):
-            return p.get("text", "")
-        if kind == "tool_use":
-            return f"[tool {p.get('name', '')}] {json.dumps(p.get('input', {}), ensure_ascii=False)[:200]}"
-        if kind == "tool_result":
-            return f"[result] {str(p.get('content', ''))[:500]}"
-        if kind == "thinking":
-            return f"<thinking>{p.get('thinking', '')}</thinking>"
-        return ""
-
-    def messages(x: dict) -> Iterator[tuple[str, str]]:
-        if "message" in x and isinstance(x["message"], dict):
-            content = x["message"].get("content", "")
-            yield x["message"].get("role", x.get("type", "unknown")), "\n".join(part(p) for p in ([content] if isinstance(content, str) else content))
-        elif x.get("type") == "response_item":
-            payload = x.get("payload", {})
-            if payload.get("type") == "function_call":
-                yield "assistant", f"[tool {payload.get('name', '')}] {str(payload.get('arguments', ''))[:200]}"
-            elif payload.get("type") == "function_call_output":
-                yield "tool", f"[result] {str(payload.get('output', ''))[:500]}"
-            else:
-                yield payload.get("role", "assistant"), "\n".join(part(p) for p in payload.get("content") or payload.get("summary") or [])
-        else:
-            for m in x.get("messages", []):
-                thoughts = "".join(f"<thinking>{t.get('description', t) if isinstance(t, dict) else t}</thinking>\n" for t in m.get("thoughts", []))
-                yield m.get("type", "unknown"), thoughts + str(m.get("content", ""))
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
@@ -323,7 +335,7 @@ def session_messages(lines: DataFrame) -> DataFrame:
                     data = json.loads(raw or "")
                 except ValueError:
                     continue
-                rows += [(key, r, t) for r, t in messages(data) if t.strip()]
+                rows += [(key, r, t) for r, t in session_lines(data)]
             yield pd.DataFrame(rows, columns=["id", "role", "text"])
 
     return lines.mapInPandas(run, "id long, role string, text string")

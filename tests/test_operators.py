@@ -143,3 +143,46 @@ def test_judgements(spark):
     expected = spark.createDataFrame([(1, "y.py"), (1, "q.py"), (2, None), (3, None), (4, "a.py")], "query_id int, expected string")
     got = {r.query_id: (r.recall, r.reciprocal_rank) for r in evaluate.judged(results, expected, 10).collect()}
     assert got == {1: (0.5, 0.5), 2: (1.0, 1.0), 3: (0.0, 0.0), 4: (0.0, 0.0)}
+
+
+def test_close_vectors_are_alike(spark):
+    ranked = spark.createDataFrame([(1, i, 1.0 - i / 10, i, i, i) for i in range(1, 6)], "query_id long, id long, score double, file_id long, source_id long, rank int")
+    texts = spark.createDataFrame([(1, "alpha beta"), (2, "gamma delta"), (3, "epsilon zeta"), (4, "eta theta"), (5, None)], "id long, text string")
+    vectors = spark.createDataFrame([(1, "m", [1.0, 0.0]), (2, "m", [1.0, 0.1]), (3, "n", [1.0, 0.0]), (4, "m", [0.0, 0.0]), (5, "m", [1.0, 0.5])], "id long, model string, vector array<float>")
+    assert [r.id for r in retrieval.diverse(ranked, texts, vectors=vectors).orderBy("place").collect()] == [1, 3, 4, 5]
+    assert [r.id for r in retrieval.diverse(ranked, texts).orderBy("place").collect()] == [1, 2, 3, 4, 5]
+
+
+def test_busy_keys_are_flushed(spark):
+    import datetime
+
+    start = datetime.datetime(2024, 1, 1)
+    events = spark.createDataFrame([(1, n, start + datetime.timedelta(minutes=10 * n)) for n in range(13)] + [(1, 99, start + datetime.timedelta(hours=9)), (2, 100, start)], "user_id long, event_id long, ts timestamp_ntz")
+    got = {(r.user_id, r.start, r.n) for r in flows.debounced(events, "user_id", "30 minutes", "1 hour").collect()}
+    hour = datetime.timedelta(hours=1)
+    assert got == {(1, start, 6), (1, start + hour, 6), (1, start + 2 * hour, 1), (1, start + 9 * hour, 1), (2, start, 1)}
+
+
+def test_robots_sections(spark):
+    from quarrylight.sources import adapters
+
+    robots = spark.createDataFrame([(1, "User-agent: other\nDisallow: /x\n\nUser-agent: *\nDisallow: /a\r\nDisallow:\nAllow: /q\nUser-agent: quarrylight\n Disallow: /b \n"), (2, ""), (3, None)], "source_id long, text string")
+    assert {(r.source_id, r.rule) for r in adapters.robots_rules(robots).collect()} == {(1, "/a"), (1, "/b")}
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from quarrylight.core import storage
+
+    class Context:
+        master = "spark://host:7077"
+        _jsc = spark.sparkContext._jsc
+
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default: None)
+
+        sparkContext = Context  # noqa: N815
+
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        with pytest.raises(RuntimeError):
+            storage.checkpoint_dir(Session)

@@ -98,7 +98,14 @@ def _targets(t):
     return t.call_graph.where("callee_name is not null").join(s, "caller_symbol_id").select(F.col("caller_symbol_id").alias("symbol_id"), "name", F.col("callee_name").alias("callee"), role.alias("role"), sure.alias("confidence")).distinct()
 
 
-@P.add("g_delegation")
+@P.add("g_delegation", f"""
+    WITH RECURSIVE {EDGES_SQL}, c AS (SELECT DISTINCT s.id AS symbol_id, s.name, g.callee_name AS callee, {ROLE_SQL} AS role, {ROLE_SURE_SQL} AS confidence FROM call_graph g JOIN (SELECT DISTINCT id, name FROM symbols) s ON s.id = g.caller_symbol_id WHERE g.callee_name IS NOT NULL),
+        w AS (SELECT *, CASE WHEN length(name) > 3 AND length(callee) > 3 AND (contains(lower(name), lower(callee)) OR contains(lower(callee), lower(name))) THEN 1 WHEN role IN ('dispatch', 'mutation') THEN 2 WHEN role <> 'unknown' THEN 3 ELSE 4 END AS why FROM c),
+    p AS (SELECT symbol_id, callee FROM (SELECT symbol_id, callee, row_number() OVER (PARTITION BY symbol_id ORDER BY why, confidence DESC NULLS LAST, callee) AS n FROM w) WHERE n = 1),
+    s AS (SELECT p.symbol_id, p.callee, min(g.callee_symbol_id) AS next FROM p LEFT JOIN call_graph g ON g.caller_symbol_id = p.symbol_id AND g.callee_name = p.callee AND g.callee_symbol_id IS NOT NULL GROUP BY ALL),
+    r AS (SELECT st.id AS start, 1 AS hop, s.callee, s.next FROM (SELECT DISTINCT id FROM symbols WHERE name = {START_SQL}) st JOIN s ON s.symbol_id = st.id
+        UNION ALL SELECT r.start, hop + 1, s.callee, s.next FROM r JOIN s ON s.symbol_id = r.next WHERE r.next <> r.start AND hop < 10)
+    SELECT start, hop, callee FROM r""")
 def _(t):
     """The walk over primary targets from every symbol of the start name, at most ten steps."""
     primary = graph.primary_targets(_targets(t)).select("symbol_id", "callee")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.core import parts
 from quarrylight.operators import versions
+from quarrylight.plans import searching
 from quarrylight.plans.registry import Plans
 
 P = Plans()
@@ -205,10 +206,10 @@ def _(t):
     return j.select("symbol_id", "chunk_id", F.row_number().over(Window.partitionBy("symbol_id").orderBy(shared.desc(), "start_line", "chunk_id")).cast("long").alias("rn"))
 
 
-@P.add("st_dual_read_diff")
+@P.add("st_dual_read_diff", f"""WITH {searching.SEMANTIC_SQL}, {searching.TERMS_SQL}, a AS (SELECT * FROM lex WHERE rank <= 20), b AS (SELECT * FROM sem WHERE rank <= 20)
+    SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id, CASE WHEN a.rank IS NULL THEN 'missing_old' WHEN b.rank IS NULL THEN 'missing_new' WHEN a.rank <> b.rank THEN 'score_order' ELSE 'same' END AS verdict
+    FROM a FULL JOIN b ON a.query_id = b.query_id AND a.id = b.id""")
 def _(t):
-    from quarrylight.plans import searching
-
     old = searching._lexical(t, 20)
     new = searching._semantic(t, 20).select("query_id", "id", F.col("similarity").alias("score"), "rank")
     return versions.dual_read(old, new)

@@ -266,7 +266,7 @@ def _(t):
     return t.chunks.groupBy("file_id").agg(F.when(F.count("chunk_type") > 0, kinds).alias("kinds"))
 
 
-@P.add("agg_json")
+@P.add("agg_json", "SELECT file_id, CAST(to_json(list({'line_start': line_start, 'id': id, 'name': name} ORDER BY line_start, id, name)) AS VARCHAR) AS outline FROM (SELECT DISTINCT * FROM symbols) GROUP BY 1")
 def _(t):
     return t.symbols.distinct().groupBy("file_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("line_start", "id", "name")))).alias("outline"))
 

@@ -266,7 +266,7 @@ def _(t):
     return ch.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("id"))).where("r <= 10").select("query_id", "id")
 
 
-@P.add("keyword_search")
+@P.add("keyword_search", f"SELECT id, CAST(n AS DOUBLE) AS rank FROM (SELECT id, len(list_filter({sql_words('content_text')}, lambda w: w = 'token')) AS n FROM chunks WHERE content_text IS NOT NULL) WHERE n > 0 ORDER BY n DESC, id LIMIT 20")
 def _(t):
     return retrieval.cover_density(_texts(t), ["token"], by_length=False).orderBy(F.col("rank").desc(), "id").limit(20)
 

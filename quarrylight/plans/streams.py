@@ -32,12 +32,18 @@ def _(t):
     return flows.debounced(t.events, "user_id", "2 hours").select("user_id", "start", "n")
 
 
-@P.add("st_rate_limit")
+IN_ORDER_SQL = "e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL)"
+RATE_SQL = f"""WITH RECURSIVE {IN_ORDER_SQL}, r AS (SELECT user_id, event_id, n, true AS kept, CASE WHEN event_type <> 'error' THEN ts END AS last FROM e WHERE n = 1
+    UNION ALL SELECT e.user_id, e.event_id, e.n, r.last IS NULL OR e.ts - r.last >= INTERVAL 1 HOUR, CASE WHEN (r.last IS NULL OR e.ts - r.last >= INTERVAL 1 HOUR) AND e.event_type <> 'error' THEN e.ts ELSE r.last END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+    SELECT user_id, event_id, kept FROM r"""
+
+
+@P.add("st_rate_limit", RATE_SQL)
 def _(t):
     return flows.rate_limited(t.events)
 
 
-@P.add("st_rate_limit_stream")
+@P.add("st_rate_limit_stream", RATE_SQL)
 def _(t):
     """The same as a stream with keyed state."""
     return flows.run_to_table(flows.rate_limited(flows.change_stream(t.spark, t.base)))
@@ -87,7 +93,9 @@ def _(t):
     return _outbox(t).agg(F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(F.col("status") == "failed").alias("failed"))
 
 
-@P.add("st_circuit_breaker")
+@P.add("st_circuit_breaker", f"""WITH RECURSIVE {IN_ORDER_SQL}, r AS (SELECT user_id, event_id, n, ts, CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END AS fails, CAST(NULL AS TIMESTAMP) AS opened FROM e WHERE n = 1
+    UNION ALL SELECT e.user_id, e.event_id, e.n, e.ts, CASE WHEN e.event_type = 'purchase' THEN 0 ELSE r.fails + 1 END, CASE WHEN e.event_type = 'purchase' THEN NULL WHEN r.fails = 4 THEN e.ts ELSE r.opened END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+    SELECT user_id AS key, event_id, CASE WHEN opened IS NULL THEN 'closed' WHEN ts - opened < INTERVAL 1 HOUR THEN 'open' ELSE 'half_open' END AS state FROM r""")
 def _(t):
     outcomes = t.events.select(F.col("user_id").alias("key"), "event_id", "ts", (F.col("event_type") == "purchase").alias("ok"))
     return flows.circuit(outcomes, threshold=5, wait_seconds=3600)

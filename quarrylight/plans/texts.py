@@ -48,7 +48,7 @@ def _(t):
     return adapters.in_scope(t.files, t.sources).select("id")
 
 
-@P.add("src_managed_append", None)
+@P.add("src_managed_append", "SELECT file_id, count(*) AS segments, list_reduce(list_prepend('', list(d ORDER BY id)), lambda h, x: sha256(h || x)) AS chain FROM (SELECT file_id, id, sha256(content_text) AS d FROM chunks) GROUP BY 1")
 def _(t):
     return adapters.segment_chain(t.chunks.select("file_id", F.col("id").alias("sequence"), F.sha2(F.col("content_text"), 256).alias("digest")))
 
@@ -228,7 +228,10 @@ def _(t):
     return t.documents.where("text is not null").select("doc_id", text.print_cleanup(F.col("text")).alias("cleaned"))
 
 
-@P.add("src_conv_project")
+@P.add("src_conv_project", """
+    WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE kind = 'chat')),
+    p AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, regexp_extract(line, '^\\[\\w+\\] ', 0) AS mark FROM l)
+    SELECT doc_id, regexp_extract(line, '^\\[(\\w+)\\] ', 1) AS role, substr(line, length(mark) + 1) AS text, CAST(before + length(mark) AS BIGINT) AS start, CAST(before + length(line) AS BIGINT) AS stop FROM p WHERE mark <> ''""")
 def _(t):
     return adapters.projected_turns(t.documents.where("kind = 'chat'"))
 

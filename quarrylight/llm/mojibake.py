@@ -208,9 +208,10 @@ def _layer(text: str) -> str:
     for line in text.split("\n"):
         if not line.isascii():
             mended, lang = line, None
-            for _ in range(4):  # inner layers show only when outer ones are gone
+            last = None
+            while mended != last:  # inner layers show only when outer ones are gone; each makes the line shorter
                 mended, last = _utf8_layer(mended), mended
-                if mended == last:
+                if len(mended) >= len(last):
                     break
             if len(_ACCENTED.findall(line)) >= 3:  # fewer letters foreign to a language are no sign
                 lang = language(line)
@@ -235,8 +236,11 @@ def _layer(text: str) -> str:
     return "\n".join(out)
 
 
-def repair(text: str, layers: int = 4) -> tuple[str, bool]:
-    """(the text as far as it can be restored, whether any of it is garbled)."""
+def repair(text: str) -> tuple[str, bool]:
+    """(the text as far as it can be restored, whether any of it is garbled).
+
+    Layer after layer is undone until nothing changes any more.
+    """
     if text.isascii():
         return text, False
     kept: list[str] = []
@@ -249,10 +253,9 @@ def repair(text: str, layers: int = 4) -> tuple[str, bool]:
 
     hidden = _QUOTED.sub(hide, text)
     mended = hidden
-    for _ in range(layers):
-        after = _layer(mended)
-        if after == mended:
-            break
+    seen = {mended}
+    while (after := _layer(mended)) not in seen:
+        seen.add(after)
         mended = after
     garbled = mended != hidden or "�" in hidden or bool(re.search(r"[\x80-\x9f]", hidden))
     return re.sub("\x00(\\d+)\x00", lambda m: kept[int(m[1])], mended), garbled

@@ -61,3 +61,10 @@ def test_documents(spark):
     assert len(out) == 6 and {r.doc_id for r in out if r.garbled} == {1, None}
     assert {r.restored for r in out if r.doc_id == 1} == {"für alle"}
     assert M.repair_documents(df.where("false")).count() == 0
+
+
+def test_any_number_of_layers_is_undone():
+    text = garbled = "Größe der Schlüssel für Übergänge, naïve Prüfung"
+    for _ in range(6):
+        garbled = garbled.encode("utf-8").decode("latin-1")
+    assert M.repair(garbled) == (text, True)

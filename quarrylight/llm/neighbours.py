@@ -278,10 +278,6 @@ def _rows(vectors: DataFrame, id_column: str, dimensions: int) -> DataFrame:
     return given.mapInArrow(_usable(dimensions), "id long, model string, class binary, raw binary")
 
 
-#: Pairs are (similarity lost in billionths, id): their plain order is best first, ties to the smaller id.
-_LISTED = "sort_array(array_distinct(flatten(collect_list(pairs))))"
-
-
 def most_similar(
     vectors: DataFrame, id_column: str = "chunk_id", k: int = 10, orderings: int = 8, axes: int = 6, bits: int = 8, width: int = 4000, dimensions: int = DIMENSIONS, rows_per_task: int = 60_000
 ) -> DataFrame:
@@ -309,12 +305,16 @@ def most_similar(
     near = found.where("seam is null").select("model", "id", "near", "lost").unionByName(over)
     gathered = near.groupBy("model", "id").agg(F.flatten(F.collect_list("near")).alias("near"), F.flatten(F.collect_list("lost")).alias("lost"))
     merged = gathered.mapInArrow(_merge(k), "model string, id long, near array<long>, lost array<int>")
-    # Spread classes out: a class's neighbours are its own other members and those of the nearest classes.
+    # Spread classes out: a class's neighbours are its own other members and those of the nearest classes. Most classes have one member.
+    several = reps.where("size > 1")
     nearest = merged.select("model", F.col("id").alias("rep"), F.explode(F.arrays_zip("near", "lost")).alias("pair")).select("model", "rep", F.col("pair.near").alias("other"), F.col("pair.lost").alias("lost"))
-    own = reps.select("model", F.col("id").alias("rep"), F.col("id").alias("other"), F.lit(0).alias("lost"))
-    members = reps.select("model", F.col("id").alias("other"), "members")
-    every = nearest.unionByName(own).join(members, ["model", "other"]).select("model", "rep", F.expr("transform(members, m -> named_struct('lost', lost, 'id', m))").alias("pairs"))
-    lists = every.groupBy("model", "rep").agg(F.expr(_LISTED).alias("pairs")).select("model", "rep", F.slice("pairs", 1, k + 1).alias("pairs"))
+    own = several.select("model", F.col("id").alias("rep"), F.col("id").alias("other"), F.lit(0).alias("lost"))
+    members = several.select("model", F.col("id").alias("other"), "members")
+    more = nearest.unionByName(own).join(members, ["model", "other"]).select("model", "rep", F.expr("transform(members, m -> named_struct('lost', lost, 'id', m))").alias("pairs")).groupBy("model", "rep").agg(F.flatten(F.collect_list("pairs")).alias("more"))
+    pairs = F.expr("array_append(transform(arrays_zip(lost, near), x -> named_struct('lost', x.lost, 'id', x.near)), named_struct('lost', 0, 'id', rep))")
+    listed = merged.withColumnRenamed("id", "rep").join(more, ["model", "rep"], "left").select("model", "rep", pairs.alias("pairs"), "more")
+    every = F.when(F.col("more").isNull(), F.col("pairs")).otherwise(F.array_distinct(F.concat("pairs", "more")))
+    lists = listed.select("model", "rep", F.slice(F.sort_array(every), 1, k + 1).alias("pairs"))
     # Large classes are cut into parts of 50 000 members, so that no task gets a whole one.
     salted = lists.join(reps.select("model", F.col("id").alias("rep"), "class", "size"), ["model", "rep"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.floor(F.col("size") / 50_000).cast("int"))))
     parts = sizes.select("model", "class", F.floor(F.col("size") / 50_000 + 1).cast("long").alias("parts")).where("parts > 1")

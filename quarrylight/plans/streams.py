@@ -49,14 +49,20 @@ def _(t):
     return flows.run_to_table(flows.rate_limited(flows.change_stream(t.spark, t.base)))
 
 
-@P.add("st_signature_dedup", "SELECT event_id FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE b IS NULL OR b <> event_type")
+SIGNATURE_SQL = "SELECT event_id FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE b IS NULL OR b <> event_type"
+
+
+@P.add("st_signature_dedup", SIGNATURE_SQL)
 def _(t):
     return flows.signature_changes(t.events).select("event_id")
 
 
-@P.add("st_inflight", """
+INFLIGHT_SQL = """
     SELECT event_id, CASE WHEN coalesce(r, 0) = 1 AND event_type IN ('click', 'view') THEN 'dropped' ELSE 'taken' END AS state FROM (
-        SELECT event_id, event_type, last_value(CASE WHEN event_type = 'click' THEN 1 WHEN event_type IN ('purchase', 'error') THEN 0 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM events)""")
+        SELECT event_id, event_type, last_value(CASE WHEN event_type = 'click' THEN 1 WHEN event_type IN ('purchase', 'error') THEN 0 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM events)"""
+
+
+@P.add("st_inflight", INFLIGHT_SQL)
 def _(t):
     return flows.in_flight(t.events)
 
@@ -93,9 +99,12 @@ def _(t):
     return _outbox(t).agg(F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(F.col("status") == "failed").alias("failed"))
 
 
-@P.add("st_circuit_breaker", f"""WITH RECURSIVE {IN_ORDER_SQL}, r AS (SELECT user_id, event_id, n, ts, CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END AS fails, CAST(NULL AS TIMESTAMP) AS opened FROM e WHERE n = 1
+CIRCUIT_SQL = f"""WITH RECURSIVE {IN_ORDER_SQL}, r AS (SELECT user_id, event_id, n, ts, CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END AS fails, CAST(NULL AS TIMESTAMP) AS opened FROM e WHERE n = 1
     UNION ALL SELECT e.user_id, e.event_id, e.n, e.ts, CASE WHEN e.event_type = 'purchase' THEN 0 ELSE r.fails + 1 END, CASE WHEN e.event_type = 'purchase' THEN NULL WHEN r.fails = 4 THEN e.ts ELSE r.opened END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
-    SELECT user_id AS key, event_id, CASE WHEN opened IS NULL THEN 'closed' WHEN ts - opened < INTERVAL 1 HOUR THEN 'open' ELSE 'half_open' END AS state FROM r""")
+    SELECT user_id AS key, event_id, CASE WHEN opened IS NULL THEN 'closed' WHEN ts - opened < INTERVAL 1 HOUR THEN 'open' ELSE 'half_open' END AS state FROM r"""
+
+
+@P.add("st_circuit_breaker", CIRCUIT_SQL)
 def _(t):
     outcomes = t.events.select(F.col("user_id").alias("key"), "event_id", "ts", (F.col("event_type") == "purchase").alias("ok"))
     return flows.circuit(outcomes, threshold=5, wait_seconds=3600)
@@ -115,3 +124,26 @@ def _(t):
 @P.add("stream_tumbling", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def _(t):
     return flows.windowed_counts(t.events)
+
+
+@P.add("st_signature_dedup_stream", SIGNATURE_SQL)
+def _(t):
+    return flows.run_to_table(flows.signature_changes(flows.change_stream(t.spark, t.base))).select("event_id")
+
+
+@P.add("st_inflight_stream", INFLIGHT_SQL)
+def _(t):
+    return flows.run_to_table(flows.in_flight(flows.change_stream(t.spark, t.base)))
+
+
+@P.add("st_circuit_breaker_stream", CIRCUIT_SQL)
+def _(t):
+    outcomes = flows.change_stream(t.spark, t.base).select(F.col("user_id").alias("key"), "event_id", "ts", (F.col("event_type") == "purchase").alias("ok"))
+    return flows.run_to_table(flows.circuit(outcomes, threshold=5, wait_seconds=3600))
+
+
+@P.add("st_debounce_stream", "SELECT user_id, start, n FROM (WITH g AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM g) SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS n FROM s GROUP BY user_id, n) WHERE last + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
+def _(t):
+    """Batches that are closed once no event an hour late could still join them; late events are counted as they come."""
+    stream = flows.change_stream(t.spark, t.base).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
+    return flows.run_to_table(flows.debounced(stream, "user_id", "2 hours")).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")

@@ -5,6 +5,7 @@ The streams read files with ``availableNow`` and keep their state and progress i
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Iterator
 
@@ -76,6 +77,24 @@ def _in_order(rows: DataFrame, key: str, start, step, out: str, columns: list[st
     return rows.repartition(key).sortWithinPartitions(key, "ts", "event_id").mapInPandas(run, out)
 
 
+def folded(rows: DataFrame, key: str, start, step, out: str, columns: list[str]) -> DataFrame:
+    """``_in_order`` for a finished table; for a stream the same with the state of each key kept between its batches."""
+    if not rows.isStreaming:
+        return _in_order(rows, key, start, step, out, columns)
+    names = [x.split()[0] for x in out.split(", ")]
+
+    def fold(_, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        state = pickle.loads(held.get[0]) if held.exists else start
+        found = []
+        for row in sorted((r for b in batches for r in b.itertuples(index=False)), key=lambda r: (r.ts, r.event_id)):
+            state, values = step(state, row)
+            found.append((*(getattr(row, c) for c in columns), *values))
+        held.update((pickle.dumps(state),))
+        yield pd.DataFrame(found, columns=names)
+
+    return rows.groupBy(key).applyInPandasWithState(fold, out, "state binary", "append", GroupStateTimeout.NoTimeout)
+
+
 def windowed_counts(events: DataFrame, width: str = "1 day", late: str | None = None) -> DataFrame:
     """``start, event_type, n``: events by time and kind; with ``late`` rows that come later than that are dropped."""
     rows = events if late is None else events.withWatermark("ts", late)
@@ -93,30 +112,29 @@ def rate_limited(events: DataFrame, key: str = "user_id", seconds: int = 3600) -
         passed = last is None or at - last >= seconds * 1_000_000
         return (at if passed and row.event_type != "error" else last), (passed,)
 
-    def fold(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        out = []
-        for row in sorted((r for b in batches for r in b.itertuples(index=False)), key=lambda r: (r.ts, r.event_id)):
-            last, (passed,) = step(last, row)
-            out.append((k[0], row.event_id, passed))
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame(out, columns=[key, "event_id", "kept"])
-
-    schema = f"{key} long, event_id long, kept boolean"
-    if events.isStreaming:
-        return events.groupBy(key).applyInPandasWithState(fold, schema, "last long", "append", GroupStateTimeout.NoTimeout)
-    return _in_order(events.where(F.col(key).isNotNull()).select(key, "event_id", "ts", "event_type"), key, None, step, schema, [key, "event_id"])
+    return folded(events.where(F.col(key).isNotNull()).select(key, "event_id", "ts", "event_type"), key, None, step, f"{key} long, event_id long, kept boolean", [key, "event_id"])
 
 
 def signature_changes(events: DataFrame, key: str = "user_id", signature: str = "event_type") -> DataFrame:
-    """Events whose signature differs from the one before of the same key."""
+    """Events whose signature differs from the one before of the same key; of a stream ``key, event_id`` of these."""
+    if events.isStreaming:
+        step = lambda last, row: (getattr(row, signature), (last is None or last != getattr(row, signature),))
+        marked = folded(events.select(key, "event_id", "ts", signature), key, None, step, f"{key} long, event_id long, changed boolean", [key, "event_id"])
+        return marked.where("changed").select(key, "event_id")
     before = F.lag(signature).over(Window.partitionBy(key).orderBy("ts", "event_id"))
     return events.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("_before") != F.col(signature))).drop("_before")
 
 
 def in_flight(events: DataFrame, key: str = "user_id") -> DataFrame:
     """``event_id, state``: a click starts work, a view while it runs is dropped, a purchase or error ends it."""
+    if events.isStreaming:
+
+        def step(running, row):
+            dropped = running and row.event_type in ("click", "view")
+            running = True if row.event_type == "click" else False if row.event_type in ("purchase", "error") else running
+            return running, ("dropped" if dropped else "taken",)
+
+        return folded(events.select(key, "event_id", "ts", "event_type"), key, False, step, "event_id long, state string", ["event_id"])
     work = F.when(F.col("event_type") == "click", 1).when(F.col("event_type").isin("purchase", "error"), 0)
     running = F.last(work, ignorenulls=True).over(Window.partitionBy(key).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1))
     state = F.when((F.coalesce(running, F.lit(0)) == 1) & F.col("event_type").isin("click", "view"), "dropped").otherwise("taken")
@@ -140,7 +158,7 @@ def circuit(outcomes: DataFrame, threshold: int = 5, wait_seconds: int = 30) ->
         said = "closed" if opened is None else "open" if (row.ts - opened).total_seconds() < wait_seconds else "half_open"
         return (fails, opened), (said,)
 
-    return _in_order(outcomes.where("key is not null"), "key", (0, None), step, "key long, event_id long, state string", ["key", "event_id"])
+    return folded(outcomes.where("key is not null"), "key", (0, None), step, "key long, event_id long, state string", ["key", "event_id"])
 
 
 def claimed(outbox: DataFrame, most: int) -> DataFrame:

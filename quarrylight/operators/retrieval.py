@@ -174,6 +174,26 @@ def rerank(kept: DataFrame, closeness: DataFrame, first: int = 30) -> DataFrame:
     return placed.select("query_id", "id", (0.7 / F.col("place") + 0.3 * F.col("score")).alias("score"), F.col("place").cast("long").alias("place"))
 
 
+# What a search of a quality does (whether it reranks, and how many milliseconds it may take); any other name is the default.
+TIERS = {"fast": (False, 100), "balanced": (True, 300)}
+DEFAULT_TIER = "balanced"
+
+
+def quality_tier(name: Column) -> Column:
+    """``tier, reranks, budget_ms`` of a tier that is asked for by name; null and unknown names are the default."""
+    known = F.when(name.isin(list(TIERS)), name).otherwise(F.lit(DEFAULT_TIER))
+    reranks, budget = F.lit(None).cast("boolean"), F.lit(None).cast("int")
+    for tier, (again, most) in TIERS.items():
+        reranks, budget = F.when(known == tier, F.lit(again)).otherwise(reranks), F.when(known == tier, F.lit(most)).otherwise(budget)
+    return F.struct(known.alias("tier"), reranks.alias("reranks"), budget.alias("budget_ms"))
+
+
+def finished(kept: DataFrame, closeness: DataFrame, tier: str | None = None) -> DataFrame:
+    """``query_id, id, score, place``: the kept candidates as they are or reranked, as the tier says."""
+    reranks = TIERS.get(tier, TIERS[DEFAULT_TIER])[0]
+    return rerank(kept, closeness) if reranks else kept.select("query_id", "id", "score", "place")
+
+
 def degraded_mode(vectors: bool, reranker: bool) -> str:
     """What a search can do with the services that answer."""
     return {(True, True): "full", (False, True): "no-vectors", (True, False): "no-rerank", (False, False): "words-only"}[vectors, reranker]

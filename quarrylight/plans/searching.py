@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarrylight.core.storage import cut
 from quarrylight.functions import scoring
 from quarrylight.functions import text as tx
 from quarrylight.operators import exact, retrieval
@@ -231,12 +232,28 @@ def _(t):
     return j.select("query_id", "id", F.round(retrieval.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
 
 
+def _closeness(t, kept):
+    words = _texts(t).select("id", tx.words(F.col("text")).alias("ws"))
+    return kept.select("query_id", "id").join(_asked(t), "query_id").join(words, "id").select("query_id", "id", F.coalesce(F.try_divide(F.size(F.array_intersect("terms", "ws")), F.size("terms")), F.lit(0.0)).alias("closeness"))
+
+
 @P.add("rerank")
+def _(t):
+    kept = cut(flagship(t))
+    return retrieval.finished(kept, _closeness(t, kept))
+
+
+@P.add("q_quality_tier", """SELECT doc_id, CASE WHEN kind = 'faq' THEN 'fast' ELSE 'balanced' END AS tier, coalesce(kind <> 'faq', true) AS reranks, CASE WHEN kind = 'faq' THEN 100 ELSE 300 END AS budget_ms FROM documents""")
+def _(t):
+    """A tier asked for by every document: some fast, some balanced, some by unknown names or none."""
+    asked = F.when(F.col("kind") == "faq", "fast").when(F.col("kind") == "chat", "balanced").when(F.col("kind") == "issue", "deep")
+    return t.documents.select("doc_id", retrieval.quality_tier(asked).alias("q")).select("doc_id", "q.*")
+
+
+@P.add("search_fast")
 def _(t):
     kept = flagship(t)
-    words = _texts(t).select("id", tx.words(F.col("text")).alias("ws"))
-    closeness = kept.select("query_id", "id").join(_asked(t), "query_id").join(words, "id").select("query_id", "id", F.coalesce(F.try_divide(F.size(F.array_intersect("terms", "ws")), F.size("terms")), F.lit(0.0)).alias("closeness"))
-    return retrieval.rerank(kept, closeness)
+    return retrieval.finished(kept, _closeness(t, kept), "fast")
 
 
 @P.add("parent_context", """

@@ -24,7 +24,7 @@ _COMMON = {
     "public", "private", "protected", "extern", "async", "await", "super", "break", "continue",
 }
 _WORDS = {
-    "rust": {"fn", "match", "loop", "where", "mut", "pub", "impl", "trait", "in", "as", "move", "unsafe", "mod", "use", "dyn", "ref", "crate"} - {"new"},
+    "rust": {"fn", "match", "loop", "where", "mut", "pub", "impl", "trait", "in", "as", "move", "unsafe", "mod", "use", "dyn", "ref", "crate"},
     "python": {"def", "and", "or", "not", "in", "is", "elif", "assert", "del", "raise", "with", "as", "lambda", "except", "yield", "from", "global", "nonlocal", "pass"},
     "javascript": {"typeof", "instanceof", "in", "of", "yield", "delete", "export"}, "typescript": {"typeof", "instanceof", "in", "of", "yield", "delete", "export", "keyof", "as"},
     "go": {"func", "go", "defer", "select", "range", "chan", "map", "package", "fallthrough"}, "java": {"synchronized", "assert", "instanceof", "throws", "yield"},

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,12 @@ from quarrylight.functions import scoring
 from quarrylight.functions import text as tx
 
 BLOCK = 2000
+#: Stands for a null id while texts are packed.
+NO_ID = -(1 << 63)
+#: Scores are rounded to nine digits before they are ranked; scores this close may change places.
+ROUNDED = 2e-9
+#: In how many parts at most the postings meet each block of queries.
+PARTS = 16
 
 
 def _packed(rows: DataFrame, key: str, block: int) -> DataFrame:
@@ -70,27 +78,163 @@ def postings(texts: DataFrame) -> DataFrame:
     return tokens.select("id", F.size("ws").alias("length"), F.explode("ws").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
-def word_channel(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+def _word_blocks(texts: DataFrame, most: int, merged: bool = False) -> DataFrame:
+    """``texts, words, ids, packed``: blocks of about ``most`` words, each an inverted index of its texts; those without words are left out.
+
+    ``packed`` holds the terms, the lengths of the texts, and term by term how many texts have it, which and how often.
+    ``merged``: texts of one id are one text.
+    """
+    tokens = texts.select(F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)).alias("id"), tx.words(F.col("text")).alias("ws")).where(F.size("ws") > 0)
+    if merged:
+        tokens = tokens.groupBy("id").agg(F.max(F.size("ws")).alias("length"), F.count("*").cast("int").alias("texts"), F.sum(F.size("ws")).alias("words"), F.flatten(F.collect_list("ws")).alias("ws"))
+    else:
+        tokens = tokens.select("id", F.size("ws").alias("length"), F.lit(1).alias("texts"), F.size("ws").cast("long").alias("words"), "ws")
+
+    def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ids, lengths, n, words = (np.concatenate([p.column(k).to_numpy() for p in parts]) for k in range(4))
+        coded = pa.concat_arrays([p.column(4).flatten() for p in parts]).dictionary_encode()
+        sizes = np.concatenate([p.column(4).value_lengths().to_numpy() for p in parts])
+        places = coded.indices.to_numpy().astype(np.int64) * len(ids) + np.repeat(np.arange(len(ids)), sizes)
+        places, tf = np.unique(places, return_counts=True)
+        of, text = np.divmod(places, len(ids))
+        df = np.bincount(of, minlength=len(coded.dictionary))
+        steps = np.diff(text, prepend=0)  # small numbers, which pack well
+        parts = ["\n".join(coded.dictionary.to_pylist()).encode(), lengths.astype(np.int32).tobytes(), *(x.astype(np.int32).tobytes() for x in (df, steps, tf))]
+        packed = [zlib.compress(x, 1) for x in parts]
+        return pa.RecordBatch.from_arrays([pa.array([n.sum()], pa.int64()), pa.array([words.sum()], pa.int64()), pa.array([ids.tolist()], pa.list_(pa.int64())), pa.array([packed], pa.list_(pa.binary()))], ["texts", "words", "ids", "packed"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            upto = np.cumsum(b.column(4).value_lengths().to_numpy())
+            start = 0
+            while start < b.num_rows:
+                stop = int(np.searchsorted(upto, most - size + (upto[start - 1] if start else 0))) + 1
+                held.append(b.slice(start, stop - start))
+                size += int(upto[min(stop, b.num_rows) - 1] - (upto[start - 1] if start else 0))
+                start = stop
+                if size >= most:
+                    yield block(held)
+                    held, size = [], 0
+        if held:
+            yield block(held)
+
+    return tokens.mapInArrow(run, "texts long, words long, ids array<long>, packed array<binary>")
+
+
+def _terms(packed: np.ndarray) -> list[str]:
+    return zlib.decompress(packed[0]).decode().split("\n")
+
+
+def _numbers(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), np.int32).astype(np.int64)
+
+
+def _leading(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of all that can be among the ``k`` best of their query once scores are rounded, best first by query."""
+    order = np.lexsort((ids, -scores, query))
+    q, s, at = query[order], scores[order], np.arange(len(order))
+    new = np.diff(q, prepend=-1) != 0
+    begins = np.maximum.accumulate(np.where(new, at, 0))
+    last = np.minimum(begins + k - 1, len(order) - 1)
+    least = np.where(q[last] == q, s[last], 0.0)
+    equal = at - np.maximum.accumulate(np.where(new | (np.diff(s, prepend=0) != 0), at, 0))
+    return order[(s >= least - ROUNDED) & (equal < k)]
+
+
+def word_channel(queries: DataFrame, texts: DataFrame, k: int, block: int = 2000, most: int = 2_000_000) -> DataFrame:
     """``query_id, id, score, rank``: the ``k`` best texts of every query by its words (any of them).
 
-    ``queries``: query_id, terms. Only the postings of asked terms are kept; a term's weight falls with the texts it is in.
-    The texts are gone through once: an empty term stands for the text itself and gives the numbers of the corpus.
+    ``queries``: query_id, terms. A term's weight falls with the texts it is in. The texts are tokenised once and packed
+    into blocks of postings. Blocks of queries meet all of these on the executors: a task scores every text that
+    has any of a query's words and keeps the best, so what moves are these, not all pairs of queries and texts.
     """
-    tokens = texts.select("id", tx.words(F.col("text")).alias("ws")).where(F.size("ws") > 0)
+    packed = cut(_word_blocks(texts, most))
+    if not packed.select(F.explode("ids").alias("id")).groupBy("id").count().where("count > 1").isEmpty():
+        packed = cut(_word_blocks(texts, most, merged=True))
+    stats = packed.agg(F.sum("texts").alias("n"), (F.sum("words") / F.sum("texts")).alias("average"))
+
+    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p in b["packed"]:
+                yield pd.DataFrame({"term": _terms(p), "df": _numbers(p[2])})
+
     asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term")).where("term <> ''")
-    wanted = asked.select("term").unionByName(texts.sparkSession.createDataFrame([("",)], "term string")).distinct()
-    marked = tokens.select("id", F.size("ws").alias("length"), F.explode(F.concat("ws", F.array(F.lit("")))).alias("term")).join(wanted, "term", "left_semi")
-    counted = cut(marked.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length")))
-    stats = counted.where("term = ''").agg(F.count("*").alias("n"), F.avg("length").alias("average"))
-    counted = counted.where("term <> ''")
-    df = counted.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = counted.join(df, "term").crossJoin(F.broadcast(stats)).select("id", "term", (F.log(1 + (F.col("n") + 1) / (F.col("df") + 1)) * F.col("tf") / (F.col("tf") + 0.5 + 0.5 * F.col("length") / F.col("average"))).alias("part"))
-    # A word that many texts and queries have is split by AQE; scores are added up in part before they move.
-    scored = weighed.join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum("part"), 9).alias("score"))
+    df = packed.select("packed").mapInPandas(counts, "term string, df long").join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
+    weighed = asked.join(df, "term").crossJoin(F.broadcast(stats)).select(F.col("query_id").cast("long").alias("query_id"), "term", F.log(1 + (F.col("n") + 1) / (F.col("df") + 1)).alias("weight"), "average")
+
+    def together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def row(rows: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"average": [rows["average"].iloc[0]], "asked": [rows["query_id"].to_numpy()], "terms": [rows["term"].to_numpy()], "weights": [rows["weight"].to_numpy()]})
+
+        held, n = [], 0
+        for b in batches:
+            # Rows are sorted by query; a query stays in one block.
+            for _, rows in b.groupby("query_id"):
+                if n >= block and rows["query_id"].iloc[0] != held[-1]["query_id"].iloc[0]:
+                    yield row(pd.concat(held))
+                    held, n = [], 0
+                held.append(rows)
+                n += 1
+        if held:
+            yield row(pd.concat(held))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # By the first query of a block of queries: which queries, the least score that counts, and what was found.
+        found: dict[int, list] = {}
+        last, postings = None, None
+        for b in batches:
+            for r in b.itertuples(index=False):
+                if last != r.ids[0]:  # each block of texts comes with one block of queries after another
+                    last = r.ids[0]
+                    ids, (lengths, df, steps, tf) = np.asarray(r.ids), (_numbers(x) for x in r.packed[1:])
+                    ends = np.cumsum(df)
+                    docs = np.cumsum(steps)
+                    postings = {t: (e - d, e) for t, d, e in zip(_terms(r.packed), df.tolist(), ends.tolist(), strict=True)}
+                    scores = np.zeros(len(ids))
+                names, begins = np.unique(r.asked, return_index=True)
+                _, least, kept = state = found.setdefault(int(names[0]), [names, np.zeros(len(names)), []])
+                parts: dict[str, np.ndarray] = {}
+                for q, (begin, end) in enumerate(zip(begins, [*begins[1:], len(r.asked)], strict=True)):
+                    scores[:] = 0
+                    for term, weight in zip(r.terms[begin:end], r.weights[begin:end], strict=True):
+                        if (at := postings.get(term)) is None:
+                            continue
+                        place = slice(*at)
+                        if term not in parts:
+                            parts[term] = weight * tf[place] / (tf[place] + 0.5 + 0.5 * lengths[docs[place]] / r.average)
+                        scores[docs[place]] += parts[term]
+                    hit = np.flatnonzero(scores > max(least[q] - ROUNDED, 0))
+                    if len(hit) > k:
+                        hit = hit[scores[hit] >= np.partition(scores[hit], len(hit) - k)[len(hit) - k] - ROUNDED]
+                    if len(hit):
+                        kept.append((np.full(len(hit), q), ids[hit], scores[hit]))
+                if sum(len(x[0]) for x in kept) > 4 * k * len(names):
+                    state[2] = [_cleared(kept, least, k)]
+        for names, least, kept in found.values():
+            if kept:
+                q, id_, score = _cleared(kept, least, k)
+                yield pd.DataFrame({"query_id": names[q], "id": id_, "score": score})
+
+    blocks = weighed.repartition("query_id").sortWithinPartitions("query_id", "term").mapInPandas(together, "average double, asked array<long>, terms array<string>, weights array<double>")
+    # Few parts of the texts, as each gives its own best for every query.
+    pairs = packed.select("ids", "packed").coalesce(PARTS).crossJoin(blocks.hint("shuffle_replicate_nl"))
+    scored = pairs.mapInPandas(best, "query_id long, id long, score double").select("query_id", F.nullif("id", F.lit(NO_ID)).alias("id"), F.round("score", 9).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _cleared(kept: list[tuple], least: np.ndarray, k: int) -> tuple:
+    """What was found without all that is certainly beyond the ``k`` best; ``least`` gets the score that now counts."""
+    q, ids, scores = (np.concatenate(x) for x in zip(*kept, strict=True))
+    lead = _leading(q, ids, scores, k)
+    q, ids, scores = q[lead], ids[lead], scores[lead]
+    names, begins, n = np.unique(q, return_index=True, return_counts=True)
+    full = n >= k
+    least[names[full]] = scores[begins[full] + k - 1]
+    return q, ids, scores
+
+
 def fuse(semantic: DataFrame, lexical: DataFrame, weight: Column | float = 1.0, k: int = 60, overlap: float = 1.5) -> DataFrame:
     """``query_id, id, fused, semantic_rank, lexical_rank``: reciprocal ranks of both channels, more where both agree."""
     a = semantic.select("query_id", "id", F.col("rank").alias("semantic_rank"))

@@ -186,3 +186,48 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         with pytest.raises(RuntimeError):
             storage.checkpoint_dir(Session)
+
+def _shuffled(spark) -> int:
+    """Records that all stages so far have written for others."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), context._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_words_of_many_queries_move_only_the_best_texts(spark):
+    texts = spark.range(4000).selectExpr("id", "concat('common word', id % 7, ' t', id % 500, ' also') AS text")
+    queries = spark.range(300).selectExpr("id AS query_id", "array('common', 'also', concat('t', id), 'absent') AS terms")
+    before = _shuffled(spark)
+    found = retrieval.word_channel(queries, texts, 5, block=100, most=3000)
+    got = {(r.query_id, r["rank"]): r.id for r in found.collect()}
+    # Eight texts have the rare word; the lowest of equal ones come first. All pairs were 1,200,000.
+    assert got == {(q, k + 1): q + 500 * k for q in range(300) for k in range(5)}
+    assert _shuffled(spark) - before < 300 * 5 * retrieval.PARTS + 20_000
+
+
+def test_words_are_scored_over_blocks_as_over_the_whole(spark):
+    rng = np.random.default_rng(5)
+    lines = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.4, rng.integers(0, 40)) if x < 60)) for i in range(700)]
+    lines += [(7, "w3 w3 w5"), (7, "w9"), (None, "w2 w2"), (800, None), (801, "-"), (802, "Ünder w1")]
+    texts = spark.createDataFrame(lines, "id long, text string")
+    queries = spark.createDataFrame([(q, [f"w{int(x)}" for x in rng.integers(1, 60, 4)] + ["", "ünder"][: q % 3]) for q in range(40)] + [(50, [])], "query_id long, terms array<string>")
+    tokens = [(i, [w for w in (t or "").lower().replace("-", " ").split() if w]) for i, t in lines]
+    tokens = [x for x in tokens if x[1]]
+    n, average = len(tokens), sum(len(ws) for _, ws in tokens) / len(tokens)
+    tf, length = {}, {}
+    for i, ws in tokens:
+        length[i] = max(length.get(i, 0), len(ws))
+        for w in ws:
+            tf.setdefault(w, {})[i] = tf.get(w, {}).get(i, 0) + 1
+    expected = set()
+    for q, terms in ((r.query_id, set(r.terms) - {""}) for r in queries.collect()):
+        scores = {}
+        for w in sorted(terms & set(tf)):
+            for i, c in tf[w].items():
+                scores[i] = scores.get(i, 0) + np.log(1 + (n + 1) / (len(tf[w]) + 1)) * c / (c + 0.5 + 0.5 * length[i] / average)
+        best = sorted(scores, key=lambda i: (-round(scores[i], 9), -1 if i is None else i))[:9]
+        expected |= {(q, i, round(scores[i], 6), k + 1) for k, i in enumerate(best)}
+    for block, most in ((2000, 2_000_000), (7, 50), (1, 1)):
+        assert {(r[0], r[1], round(r[2], 6), r[3]) for r in retrieval.word_channel(queries, texts, 9, block, most).collect()} == expected
+    assert retrieval.word_channel(queries.where("query_id < 0"), texts, 9).count() == retrieval.word_channel(queries, texts.where("id < 0"), 9).count() == 0

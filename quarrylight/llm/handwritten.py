@@ -4,8 +4,9 @@ One pass over the texts gives each file's own verdict (path, heading comments an
 the hashes of its line windows. The windows make an inverted index over the corpus and the published third-party
 files. Of the windows that more than one source has, however many files hold them, each names several of its holders
 (the least and the largest in some hash orders of the holders); these are the candidates of a file that holds it, and the
-windows that a file shares with each candidate are counted in full. A file that is mostly contained in a file of another
-source, or in a published one, is a copy, also when it was patched.
+windows that a file shares with each candidate are counted in full. Files without a container among these are compared
+with all holders of so many of their rarest windows that none can be missed. A file that is mostly contained in a file
+of another source, or in a published one, is a copy, also when it was patched.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.core.storage import cut
@@ -179,7 +180,10 @@ def _pointed(features: DataFrame, share: float, least_windows: int) -> DataFrame
 
 
 def _contained(features: DataFrame, share: float, least_windows: int) -> DataFrame:
-    """``file_id`` of the copies, where each window names several holders and the windows shared with each are counted in full."""
+    """``file_id`` of the copies: whatever is mostly contained in one file of another owner.
+
+    Each window names several holders first, which finds nearly all; the rest meet all holders of their rarest windows.
+    """
     # Files of one owner with the same windows are one holder; its key orders holders by owner, then by content.
     low = F.lit((1 << 40) - 1)
     key = F.xxhash64("owner").bitwiseAND(F.bitwise_not(low)).bitwiseOR(F.col("content").bitwiseAND(low))
@@ -196,11 +200,24 @@ def _contained(features: DataFrame, share: float, least_windows: int) -> DataFra
     named = candidates.select("window", F.explode(named).alias("other"))
     pairs = asking.select("owner", "content", F.explode("windows").alias("window")).join(named, "window").select("owner", "content", "other").distinct()
     others = holders.select(F.col("key").alias("other"), F.col("owner").alias("other_owner"), F.col("windows").alias("other_windows"))
-    both = pairs.join(others, "other").where("owner <> other_owner").join(asking.select("owner", "content", "n", "windows"), ["owner", "content"])
-    contained = both.where(F.size(F.array_intersect("windows", "other_windows")) >= F.lit(share) * F.col("n")).select("owner", "content")
+
+    def containing(pairs: DataFrame, asking: DataFrame) -> DataFrame:
+        both = pairs.join(others, "other").where("owner <> other_owner").join(asking.select("owner", "content", "n", "windows"), ["owner", "content"])
+        return both.where(F.size(F.array_intersect("windows", "other_windows")) >= F.lit(share) * F.col("n")).select("owner", "content")
+
     # The same windows under two owners are copies of each other whatever the candidates are.
     twice = asking.groupBy("content").agg(F.min("owner").alias("a"), F.max("owner").alias("b")).where("a <> b").select("content")
-    marked = contained.unionByName(asking.join(twice, "content").select("owner", "content")).distinct()
+    marked = cut(containing(pairs, asking).unionByName(asking.join(twice, "content").select("owner", "content")).distinct())
+    # What is left is asked exactly: a file that has `need` of the `size` shared windows has one of any `size - need + 1`,
+    # so the holders of that many, those with the fewest holders, are all that can contain it.
+    need = F.ceil(F.lit(share) * F.col("n"))
+    left = cut(asking.join(marked, ["owner", "content"], "left_anti"))
+    postings = holders.select(F.explode("windows").alias("window"), F.col("owner").alias("other_owner"), F.col("key").alias("other"), F.size("windows").alias("other_size"))
+    asked = left.select("owner", "content", need.alias("need"), (F.size("windows") - need + 1).alias("most"), F.explode("windows").alias("window"))
+    asked = asked.join(postings.join(asked.select("window").distinct(), "window", "left_semi").groupBy("window").agg(F.count("*").alias("held")), "window")
+    rarest = asked.withColumn("place", F.row_number().over(Window.partitionBy("owner", "content").orderBy("held", "window"))).where("place <= most")
+    met = rarest.join(postings, "window").where("owner <> other_owner and other_size >= need").select("owner", "content", "other").distinct()
+    marked = marked.unionByName(containing(met, left)).distinct()
     return features.where("file_id >= 0").select("file_id", "owner", "content").join(marked, ["owner", "content"]).select("file_id")
 
 

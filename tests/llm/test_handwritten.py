@@ -129,6 +129,15 @@ def test_full_containment_in_published_files_and_large_groups(spark):
     assert {r.file_id for r in H.not_handwritten(files, up, full=True).collect()} == set(range(1, 92))
 
 
+def test_a_container_behind_many_other_holders_is_found(spark):
+    # Every window of the copy is also in small files of forty sources; the source of the container is never least or largest in the orders.
+    library = code(21, 12)
+    rows = [(1, "a/0.py", "python", "\n".join(library)), (101, "b/0.py", "python", "\n".join([*code(22, 40), *library, *code(23, 40)]))]
+    rows += [(s, f"c/{s}/{k}.py", "python", "\n".join([*code(1000 * s + k, 8), *library[k : k + 3]])) for s in range(10, 50) for k in range(len(library) - 2)]
+    files = spark.createDataFrame([(i, s, p, la, t, "o", "v") for i, (s, p, la, t) in enumerate(rows, 1)], SCHEMA)
+    assert {r.file_id for r in H.not_handwritten(files, full=True).collect()} == {1}
+
+
 def test_headings_are_read_whole():
     long_heading = "\n".join(f"// note {i} on this package" for i in range(60)) + "\n// Code generated by tool. DO NOT EDIT.\n"
     assert H.verdict("lib/a.go", "go", long_heading + "\nfunc a() {}\n") == "generated"

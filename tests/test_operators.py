@@ -231,3 +231,28 @@ def test_words_are_scored_over_blocks_as_over_the_whole(spark):
     for block, most in ((2000, 2_000_000), (7, 50), (1, 1)):
         assert {(r[0], r[1], round(r[2], 6), r[3]) for r in retrieval.word_channel(queries, texts, 9, block, most).collect()} == expected
     assert retrieval.word_channel(queries.where("query_id < 0"), texts, 9).count() == retrieval.word_channel(queries, texts.where("id < 0"), 9).count() == 0
+
+
+def _moved(spark) -> int:
+    """Bytes that all stages so far have written for others."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), context._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def _wordy(n: int) -> list[tuple[int, str]]:
+    """Texts of 80 different words each, of which no two texts share many."""
+    rng = np.random.default_rng(3)
+    return [(i, " ".join(f"word{int(x)}" for x in rng.choice(100_000, 80, replace=False))) for i in range(n)]
+
+
+def test_words_of_candidates_move_as_one_text(spark):
+    lines = _wordy(1000) + [(1000, ""), (1001, "")]
+    texts = spark.createDataFrame(lines, "id long, text string")
+    ranked = texts.selectExpr("id % 10 AS query_id", "id", "1.0 / (1 + id) AS score", "id AS file_id", "id AS source_id", "cast(id div 10 + 1 AS int) AS rank")
+    before = _moved(spark)
+    got = {(r.query_id, r.place): r.id for r in retrieval.diverse(ranked, texts, limit=200, pool=200).collect()}
+    # Texts without words are like none. Lists of words moved 1.37 MB here.
+    assert got == {(i % 10, i // 10 + 1): i for i, _ in lines}
+    assert _moved(spark) - before < 1.15e6

@@ -233,8 +233,9 @@ def _(t):
 
 
 def _closeness(t, kept):
-    words = _texts(t).select("id", tx.words(F.col("text")).alias("ws"))
-    return kept.select("query_id", "id").join(_asked(t), "query_id").join(words, "id").select("query_id", "id", F.coalesce(F.try_divide(F.size(F.array_intersect("terms", "ws")), F.size("terms")), F.lit(0.0)).alias("closeness"))
+    words = _texts(t).select("id", retrieval.joined_words(F.array_distinct(tx.words(F.col("text")))).alias("joined"))
+    met = kept.select("query_id", "id").join(_asked(t), "query_id").join(words, "id").withColumn("ws", F.split("joined", tx.SEPARATOR))
+    return met.select("query_id", "id", F.coalesce(F.try_divide(F.size(F.array_intersect("terms", "ws")), F.size("terms")), F.lit(0.0)).alias("closeness"))
 
 
 @P.add("rerank")

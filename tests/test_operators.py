@@ -256,3 +256,17 @@ def test_words_of_candidates_move_as_one_text(spark):
     # Texts without words are like none. Lists of words moved 1.37 MB here.
     assert got == {(i % 10, i // 10 + 1): i for i, _ in lines}
     assert _moved(spark) - before < 1.15e6
+
+
+def test_words_to_rerank_by_move_as_one_text(spark):
+    from quarrylight.plans import searching
+
+    class Tables:
+        chunks = spark.createDataFrame([(i, f"{text} {text}\n{text}") for i, text in _wordy(1000)] + [(1000, "-\nword1"), (1001, "one two\nfour"), (1002, "one one two."), (1003, "-"), (1100, None)], "id long, content_text string")
+
+    kept = spark.createDataFrame([(0, 0), (100, 100), (1000, 1001), (100, 1003), (0, 1100)], "query_id long, id long")
+    before = _moved(spark)
+    got = {(r.query_id, r.id): r.closeness for r in searching._closeness(Tables, kept).collect()}
+    # Lists of words moved 1.16 MB here.
+    assert got == {(0, 0): 1.0, (100, 100): 1.0, (1000, 1001): 0.0, (100, 1003): 0.0}
+    assert _moved(spark) - before < 0.8e6

@@ -63,13 +63,17 @@ def identifier_words(name: Column) -> Column:
     return F.filter(F.transform(parts, lambda p: F.trim(F.lower(p))), lambda p: (F.length(p) >= 3) & p.rlike(r"^\p{L}+$"))
 
 
-def expanded_query(query: Column) -> Column:
-    """The terms of a query for an any-of search, sorted and joined by bars."""
+def expanded_query(query: Column, synonyms: Column | None = None) -> Column:
+    """The terms of a query for an any-of search, sorted and joined by bars; each of ``synonyms`` (term, aliases) adds its term and first alias."""
     stop = F.array(*[F.lit(w) for w in EXPANSION_STOPWORDS])
+    plain = lambda t: F.lower(F.regexp_replace(t, r"[^\p{L}\p{N}_\-]", ""))
     terms = F.filter(F.split(F.trim(query), r"\s+"), lambda t: ~F.array_contains(stop, F.lower(t)))
-    clean = F.transform(terms, lambda t: F.lower(F.regexp_replace(t, r"[^\p{L}\p{N}_\-]", "")))
+    clean = F.transform(terms, plain)
     parts = F.filter(F.transform(F.flatten(F.transform(terms, camel_split)), F.lower), lambda p: (F.octet_length(p) >= 2) & ~F.array_contains(stop, p))
-    every = F.array_sort(F.array_distinct(F.filter(F.concat(clean, parts), lambda t: t != "")))
+    more = []
+    if synonyms is not None:
+        more = [F.transform(synonyms, lambda s: plain(s["term"])), F.filter(F.transform(synonyms, lambda s: plain(F.get(s["aliases"], F.lit(0)))), lambda a: ~F.array_contains(stop, a))]
+    every = F.array_sort(F.array_distinct(F.filter(F.concat(clean, parts, *more), lambda t: t != "")))
     return F.when(F.size(terms) == 0, query).otherwise(F.array_join(every, " | "))
 
 

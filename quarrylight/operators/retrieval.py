@@ -348,6 +348,37 @@ def degraded_mode(vectors: bool, reranker: bool) -> str:
     return {(True, True): "full", (False, True): "no-vectors", (True, False): "no-rerank", (False, False): "words-only"}[vectors, reranker]
 
 
+def search_mode(vectors: Column, reranker: Column) -> Column:
+    """``degraded_mode`` of every row."""
+    on, off = (F.when(reranker, F.lit(degraded_mode(v, True))).otherwise(F.lit(degraded_mode(v, False))) for v in (True, False))
+    return F.when(vectors, on).otherwise(off)
+
+
+def nearest_synonyms(queries: DataFrame, groups: DataFrame, most: int = 5, least: float = 0.5) -> DataFrame:
+    """``query_id, synonyms``: of ``groups`` (term, aliases; as many as there are rules, at most) the nearest to a query's text, best first.
+
+    Queries (query_id, text) and groups have vectors of one service, for which ``hashed_vectors`` stands in here; queries without
+    a near group aren't returned.
+    """
+    texts = groups.select(F.struct("term", "aliases").alias("id"), F.concat_ws(" ", "term", F.array_join("aliases", " ")).alias("text"))
+    numbered = texts.withColumn("n", F.row_number().over(Window.orderBy("id")))
+    known = hashed_vectors(numbered.select(F.col("n").cast("long").alias("id"), "text")).select(F.col("id").alias("n"), F.col("vector").alias("known"))
+    known = known.join(numbered.select("n", F.col("id").alias("synonym")), "n").select("synonym", "known")
+    asked = hashed_vectors(queries.select(F.col("query_id").alias("id"), "text")).select(F.col("id").alias("query_id"), "vector")
+    products = F.zip_with("vector", "known", lambda a, b: a.cast("double") * b.cast("double"))
+    met = asked.crossJoin(F.broadcast(known)).select("query_id", "synonym", F.round(F.aggregate(products, F.lit(0.0), lambda s, x: s + x), 9).alias("similarity")).where(F.col("similarity") >= least)
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("far"), "synonym"))), 1, most)
+    return met.groupBy("query_id").agg(F.transform(best, lambda x: x["synonym"]).alias("synonyms"))
+
+
+def envelope_context(found: Column, shown: Column) -> Column:
+    """What a language model is told about the results of a search."""
+    return F.concat(
+        F.lit("Found "), found.cast("string"), F.lit(" results (showing "), shown.cast("string"), F.lit("). Ranked by hybrid score (FTS + vector + reranking). Higher score = more relevant. "),
+        F.lit("[source] = knowledge base. For code: context shows file > class > function hierarchy. Use `g_callers` and `g_callees` for callers/callees. Use `g_explore` for delegation chains."),
+    )
+
+
 def hashed_vectors(texts: DataFrame, dimensions: int = 64) -> DataFrame:
     """``id, model, vector``: a stand-in for an embedding service: words hashed to signed dimensions, unit length."""
 

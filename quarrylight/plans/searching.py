@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from quarrylight.core.storage import cut
 from quarrylight.functions import scoring
 from quarrylight.functions import text as tx
-from quarrylight.operators import exact, retrieval
+from quarrylight.operators import enrich, exact, retrieval
+from quarrylight.plans import graphs
 from quarrylight.plans.registry import Plans
 from quarrylight.plans.texts import sql_words
 
@@ -261,9 +262,13 @@ def _(t):
     SELECT c.id, coalesce(list_filter(string_split(substr(p.content_text, 1, 200), chr(10)), lambda l: regexp_matches(l, '^\\s*(pub |export |public |private |static |async )*(fn|def|class|struct|impl|function|func|interface|type)\\b'))[1], string_split(substr(p.content_text, 1, 200), chr(10))[1]) AS context
     FROM chunks c JOIN chunks p ON p.id = c.parent_chunk_id WHERE p.content_text IS NOT NULL""")
 def _(t):
+    return t.chunks.select("id", "parent_chunk_id").join(_parents(t), "parent_chunk_id").select("id", "context")
+
+
+def _parents(t):
     p = t.chunks.where("content_text is not null").select(F.col("id").alias("parent_chunk_id"), F.split(F.substring("content_text", 1, 200), "\n").alias("lines"))
     declared = F.filter("lines", lambda line: line.rlike(r"^\s*(pub |export |public |private |static |async )*(fn|def|class|struct|impl|function|func|interface|type)\b"))
-    return t.chunks.select("id", "parent_chunk_id").join(p, "parent_chunk_id").select("id", F.coalesce(F.get(declared, 0), F.get("lines", 0)).alias("context"))
+    return p.select("parent_chunk_id", F.coalesce(F.get(declared, 0), F.get("lines", 0)).alias("context"))
 
 
 @P.add("symbol_expansion", f"""
@@ -301,11 +306,68 @@ def _(t):
     return t.chunks.select("id", "content_hash").join(have, "content_hash", "left").select("id", F.coalesce("have", F.lit(False)).alias("reusable"))
 
 
+def _questions(t):
+    """``query_id, line, words, terms, expanded, synonyms, vectors``: whatever either channel is asked, with what its words are expanded to.
+
+    The first lines of ``_asked`` are trimmed and asked for by their own words and those they are expanded to (``terms``); wholly
+    quoted ones by their own only. ``line`` is null, and there are no words, where only a vector is asked for.
+    """
+    line = F.regexp_replace(F.regexp_extract("content_text", r"\S[^\n]*", 0), r"\s+$", "")
+    lines = t.chunks.where("id % 100 = 0 and content_text is not null").select(F.col("id").alias("query_id"), line.alias("line")).where("line <> ''").groupBy("query_id").agg(F.min("line").alias("line"))
+    vectors = _queries(t).where(F.exists("vector", lambda x: x != 0)).select("query_id").distinct().withColumn("vectors", F.lit(True))
+    quoted = scoring.quoted_phrase(F.col("line"))
+    asked = lines.select("query_id", "line", quoted.isNotNull().alias("quoted"), F.coalesce(quoted, F.col("line")).alias("clean"))
+    if {"name", "doc_comment"} <= set(t.symbols.columns):  # what groups of synonyms are found in
+        near = retrieval.nearest_synonyms(asked.select("query_id", F.col("clean").alias("text")), enrich.synonym_groups(graphs._frequency(t)))
+    else:
+        near = t.spark.createDataFrame([], "query_id long, synonyms array<struct<term: string, aliases: array<string>>>")
+    none = F.array().cast("array<struct<term: string, aliases: array<string>>>")
+    asked = asked.join(near, "query_id", "left").withColumn("synonyms", F.coalesce("synonyms", none))
+    asked = asked.withColumn("words", tx.words(F.col("clean"))).withColumn("full", tx.expanded_query(F.col("clean"), F.col("synonyms")))
+    terms = F.array_distinct(F.when(F.col("quoted"), F.col("words")).otherwise(F.concat("words", tx.words(F.col("full")))))
+    asked = asked.select("query_id", "line", "words", terms.alias("terms"), F.when(F.col("full") != F.col("clean"), F.col("full")).alias("expanded"), "synonyms")
+    every = asked.join(vectors, "query_id", "full").withColumn("vectors", F.coalesce("vectors", F.lit(False)))
+    return every.withColumn("words", F.coalesce("words", F.array().cast("array<string>"))).withColumn("synonyms", F.coalesce("synonyms", none))
+
+
+def _shown(t, hits):
+    """``hits`` with all that is told of a result. What the tables have no column for is null."""
+    known = lambda df, *names: [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in names]
+    files = t.files.select(F.col("id").alias("file_id"), "source_id", "path", *known(t.files, "language"))
+    places = t.chunks.select("id", "file_id", "start_line", "end_line", "chunk_type", "level", *known(t.chunks, "context_prefix")).join(files, "file_id")
+    shown = hits.join(places, "id").join(t.chunks.select("id", F.col("content_text").alias("content")), "id")
+    if "parent_chunk_id" not in t.chunks.columns:
+        return shown.withColumn("parent_context", F.lit(None).cast("string"))
+    parents = t.chunks.where("chunk_type = 'function' and level = 2 and parent_chunk_id is not null").select("id", "parent_chunk_id").join(_parents(t), "parent_chunk_id")
+    return shown.join(parents.select("id", F.nullif(F.trim("context"), F.lit("")).alias("parent_context")), "id", "left")
+
+
 @P.add("response_envelope")
 def _(t):
-    hits = flagship(t).join(t.chunks.select("id", "file_id", "start_line", "end_line"), "id").join(t.files.select(F.col("id").alias("file_id"), "path"), "file_id")
-    entry = F.struct("place", "id", F.round("score", 6).alias("score"), tx.location(F.col("path"), F.col("start_line"), F.col("end_line")).alias("location"))
-    return hits.groupBy("query_id").agg(F.to_json(F.array_sort(F.collect_list(entry))).alias("results"), F.count("*").alias("total"))
+    """One row for every query, also where nothing is found: what a search answers.
+
+    ``found`` counts the candidates of both channels, before weak and near-duplicate ones drop out; ``total`` is how many
+    ``results`` are shown, in the order of the default tier, which reranks. ``mode`` says what the search could do: without a
+    vector for the query there is one channel, and without words nothing to rerank by. No time is told, as queries run together.
+    """
+    asked = cut(_questions(t))
+    fused = cut(retrieval.fuse(_semantic(t), retrieval.word_channel(asked.where("line is not null").select("query_id", "terms"), _texts(t), 100)))
+    kept = cut(retrieval.diverse(retrieval.boosted(fused, t.chunks, t.files, _callers(t)), _texts(t), vectors=_base(t)))
+    closeness, worded = _closeness(t, kept), asked.where(F.size("words") > 0).select("query_id")
+    hits = retrieval.finished(kept.join(worded, "query_id", "left_semi"), closeness).unionByName(retrieval.finished(kept.join(worded, "query_id", "left_anti"), closeness, "fast"))
+    told = _shown(t, hits).join(asked.select("query_id", "line"), "query_id", "left")
+    entry = F.struct(
+        "place", "id", F.round("score", 6).alias("score"), tx.location(F.col("path"), F.col("start_line"), F.col("end_line")).alias("location"), "path", "start_line", "end_line", "source_id", "language",
+        "chunk_type", "level", "context_prefix", "parent_context", tx.snippet(F.col("content"), F.col("line")).alias("snippet"), tx.truncated(F.col("content")).alias("content"),
+    )
+    results = told.groupBy("query_id").agg(F.to_json(F.array_sort(F.collect_list(entry))).alias("results"), F.count("*").alias("total"))
+    found = fused.groupBy("query_id").agg(F.count("*").alias("found"))
+    every = asked.join(found, "query_id", "left").join(results, "query_id", "left").withColumns({"results": F.coalesce("results", F.lit("[]")), "total": F.coalesce("total", F.lit(0).cast("long")), "found": F.coalesce("found", F.lit(0).cast("long"))})
+    ranks = F.size("words") > 0
+    return every.select(
+        "query_id", retrieval.envelope_context(F.col("found"), F.col("total")).alias("llm_context"), "results", "total", "found", retrieval.search_mode(F.col("vectors"), ranks).alias("mode"),
+        F.lit(retrieval.DEFAULT_TIER).alias("quality_tier"), (ranks & (F.col("total") > 0)).alias("reranked"), F.col("expanded").alias("expanded_query"), F.transform("synonyms", lambda s: s["term"]).alias("expansion_terms"),
+    )
 
 
 # --- exact boolean retrieval ------------------------------------------------------------------------------------------

@@ -80,19 +80,23 @@ def expanded_query(query: Column, synonyms: Column | None = None) -> Column:
 def snippet(text: Column, query: Column, around: int = 80) -> Column:
     """The first query word of at least two bytes that occurs in ``text`` (ASCII case aside), marked, with its surroundings."""
     fold = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    low = fold(text)
-    usable = F.filter(F.split(F.trim(query), r"\s+"), lambda w: (F.octet_length(w) >= 2) & low.contains(fold(w)))
-    word = F.get(usable, 0)
-    at = F.instr(low, fold(word))
-    start = F.greatest(F.lit(1), at - around - 1)
-    stop = F.least(F.length(text), at + F.length(word) - 1 + around)
-    return F.when(
-        word.isNotNull(),
-        F.concat(
-            F.when(start > 1, "...").otherwise(""), F.substring(text, start, at - start), F.lit("**"), F.substring(text, at, F.length(word)), F.lit("**"),
-            F.substring(text, at + F.length(word), stop - at - F.length(word) + 1), F.when(stop < F.length(text), "...").otherwise(""),
-        ),
-    )
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  # else a text is folded for every word
+
+    def shown(word: Column, at: Column) -> Column:
+        start = F.greatest(F.lit(1), at - around - 1)
+        stop = F.least(F.length(text), at + F.length(word) - 1 + around)
+        return F.when(
+            word.isNotNull(),
+            F.concat(
+                F.when(start > 1, "...").otherwise(""), F.substring(text, start, at - start), F.lit("**"), F.substring(text, at, F.length(word)), F.lit("**"),
+                F.substring(text, at + F.length(word), stop - at - F.length(word) + 1), F.when(stop < F.length(text), "...").otherwise(""),
+            ),
+        )
+
+    def first(low: Column) -> Column:
+        return F.get(F.filter(F.split(F.trim(query), r"\s+"), lambda w: (F.octet_length(w) >= 2) & low.contains(fold(w))), F.lit(0))
+
+    return once(fold(text), lambda low: once(first(low), lambda word: once(F.instr(low, fold(word)), lambda at: shown(word, at))))
 
 
 def location(path: Column, start: Column, end: Column) -> Column:

@@ -16,6 +16,8 @@ from quarrylight.functions import scoring
 from quarrylight.functions import text as tx
 
 BLOCK = 2000
+#: How many similarities are held at once.
+CELLS = 4_000_000
 #: Stands for a null id while texts are packed.
 NO_ID = -(1 << 63)
 #: Scores are rounded to nine digits before they are ranked; scores this close may change places.
@@ -53,16 +55,19 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, block: int = BLOCK) ->
             for r in b.itertuples(index=False):
                 asked, ids = np.asarray(r.asked), np.asarray(r.ids)
                 left, right = (np.frombuffer(x, np.float64).reshape(-1, r.size) for x in (r.asked_vectors, r.vectors))
-                sims = np.round(left @ right.T, 9)
-                sims[asked[:, None] == ids[None, :]] = -2
-                least = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k] if sims.shape[1] > k else np.full(len(sims), -1.5)
-                rows, columns = np.nonzero(sims >= np.maximum(least, -1.5)[:, None])
-                found = sims[rows, columns]
-                order = np.lexsort((ids[columns], -found, rows))
-                rows, columns, found = rows[order], columns[order], found[order]
-                begins = np.searchsorted(rows, np.arange(len(asked)))
-                kept = np.arange(len(rows)) - begins[rows] < k
-                yield pd.DataFrame({"query_id": asked[rows[kept]], "id": ids[columns[kept]], "similarity": found[kept]})
+                step = max(1, CELLS // len(ids))
+                for start in range(0, len(asked), step):
+                    some = asked[start : start + step]
+                    sims = np.round(left[start : start + step] @ right.T, 9)
+                    sims[some[:, None] == ids[None, :]] = -2
+                    least = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k] if sims.shape[1] > k else np.full(len(sims), -1.5)
+                    rows, columns = np.nonzero(sims >= np.maximum(least, -1.5)[:, None])
+                    found = sims[rows, columns]
+                    order = np.lexsort((ids[columns], -found, rows))
+                    rows, columns, found = rows[order], columns[order], found[order]
+                    begins = np.searchsorted(rows, np.arange(len(some)))
+                    kept = np.arange(len(rows)) - begins[rows] < k
+                    yield pd.DataFrame({"query_id": some[rows[kept]], "id": ids[columns[kept]], "similarity": found[kept]})
 
     # Queries come together by their hashes, which keeps few blocks where they are few.
     asked = _packed(queries.where("vector is not null").repartition("query_id"), "query_id", block).select("model", "size", F.col("ids").alias("asked"), F.col("vectors").alias("asked_vectors"))

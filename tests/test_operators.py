@@ -352,3 +352,15 @@ def test_envelopes_tell_what_the_search_did(spark, tmp_path):
     # The new place counts 0.7, the old score 0.3; without words to rerank by the old score stays.
     assert first["score"] == pytest.approx(0.7 + 0.3 * 1.4 * 1.2 * 0.3 * 1.15 / 61, abs=1e-6) and shown[300][0]["score"] == pytest.approx(1.4 * 1.2 * 0.3 * 1.05 / 61, abs=1e-6)
     assert shown[600][0]["content"].endswith("é...\n[truncated: 18007 chars total]") and len(shown[600][0]["content"].encode()) < 16_100
+
+
+def test_nearest_rows_are_the_same_however_few_similarities_are_held(spark, monkeypatch):
+    vectors = [(i, "m", [float(x) for x in v]) for i, v in enumerate(np.random.default_rng(5).normal(size=(60, 8)))]
+    base = spark.createDataFrame(vectors, "id long, model string, vector array<float>")
+
+    def found():
+        return rows(retrieval.nearest(base.withColumnRenamed("id", "query_id"), base, 7).select("query_id", "id", "similarity", "rank"))
+
+    whole = found()
+    monkeypatch.setattr(retrieval, "CELLS", 130)
+    assert found() == whole and len(whole) == 60 * 7
